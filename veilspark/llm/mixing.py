@@ -62,7 +62,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     copies = placed.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     copies = copies.withColumn("finish", (F.col("upto") + F.col("epoch") * F.col("source_size")) / F.col("target"))
     # Finish times up to 1 make up the targets; the cut lies there or just behind.
-    slice_ = F.least(F.floor(F.col("finish") * 16**DIGITS), F.lit(4 * 16**DIGITS)).cast("long")
+    fine = 16**DIGITS
+    slice_ = F.when(F.col("finish") < 2, F.floor(F.col("finish") * fine)).otherwise(2 * fine + F.floor(F.log2(F.col("finish") / 2) * fine)).cast("long")
     copies = copies.withColumn("slice", slice_)
     slices = copies.groupBy("slice").agg(F.sum("size").alias("n"))
     reach = slices.select("slice", F.sum("n").over(Window.orderBy("slice")).alias("end"), "n").select("slice", "end", (F.col("end") - F.col("n")).alias("begin"))
