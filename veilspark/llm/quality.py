@@ -120,15 +120,15 @@ class VoteModel:
         return 1 / (1 + F.exp(-score))
 
 
-def fit_votes(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = 500, belief: float = 1.0, start: float = 0.95, prior: float = 0.8) -> VoteModel:
+def fit_votes(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = 500, belief: float = 1.0, start: float = 0.95, prior: float = 0.8, rules: int = 0) -> VoteModel:
     """EM over distinct vote patterns with their counts: two classes, rules independent within a class, one accuracy a rule.
 
     Each rule starts with accuracy `start`; that belief weighs `belief` times the votes it casts, plus ten, so rules on a
     rare kind of bad document aren't drowned by a frequent kind. Accuracies stay between 0.6 and 0.99: no rule is taken to
-    be worse than chance, which fixes which class is the good one. No patterns: the start.
+    be worse than chance, which fixes which class is the good one. No patterns: the start, for so many rules.
     """
     patterns = sorted(patterns)
-    votes = np.array([p for p, _ in patterns], float).reshape(len(patterns), -1)
+    votes = np.array([p for p, _ in patterns], float).reshape(len(patterns), len(patterns[0][0]) if patterns else rules)
     n = np.array([c for _, c in patterns], float)
     accuracy, share = np.full(votes.shape[1], start), prior
     for _ in range(rounds if len(n) else 0):
@@ -156,7 +156,7 @@ def base_failed(m: str = "m") -> Column:
 
 def judged(measurements: DataFrame, least: float = 0.5) -> DataFrame:
     """measurements (a struct column m, other columns stay) with base_failed, quality (posterior) and kept."""
-    model = fit_votes(vote_patterns(measurements))
+    model = fit_votes(vote_patterns(measurements), rules=len(vote_columns()))
     failed = base_failed()
     return measurements.withColumns({"base_failed": failed, "quality": model.posterior([v for _, v in vote_columns()])}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
@@ -170,7 +170,7 @@ def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without those rejected; rows keep their columns. Two passes over the text: votes of all rows, then decisions.
 
     Null and empty texts have no words, so they fail the base rules and go. Repeated rows fare alike. Empty: no rows."""
-    model = fit_votes(vote_patterns(with_measurements(docs.select("text"))))
+    model = fit_votes(vote_patterns(with_measurements(docs.select("text"))), rules=len(vote_columns()))
     mark = "_measured"
     out = docs.withColumn(mark, measured("text"))
     good = model.posterior([v for _, v in vote_columns(mark)]) >= least
