@@ -2,5 +2,168 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.functions import text as X
+from veilspark.operators import detect as D
+from veilspark.operators.mask import findings_of, mask, mask_columns
+from veilspark.operators.policy import policy
+from veilspark.operators.propagate import exact_matches, folded_matches, fuzzy_matches, lexicon
+from veilspark.operators.registry import registry
+from veilspark.operators.tokens import flat_tokens, token_count
+from veilspark.operators.verify import left_patterns, left_values, review_flags
+
+
+def units(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    key, text = {"documents": ("doc_id", "text"), "pages": ("page_id", "html")}[table]
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("unit"), F.col(text).alias("text"), F.lit("").alias("hint"))
+
+
+def _found(spans: Callable[[Column], Column], entity: str, table: str = "documents", offsets: bool = False) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = units(spark, sf_dir, table).select("unit", F.explode(spans(F.coalesce("text", F.lit("")))).alias("s")).filter(F.col("s.entity") == entity)
+        where = [F.col("s.start").cast("long").alias("start")] if offsets else []
+        return s.select(F.col("unit").alias("doc_id"), *where, F.col("s.text").alias("value"))
+
+    return query
+
+
+def tokens_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = units(spark, sf_dir)
+    return u.select(F.col("unit").alias("doc_id"), token_count(F.col("text")).cast("long").alias("n_tokens"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+
+
+def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of tokens, checked in sum: tokens, last end and sum of starts of each document."""
+    t = flat_tokens(units(spark, sf_dir))
+    return t.groupBy(F.col("unit").alias("doc_id")).agg(F.count("*").alias("n"), F.max("end").cast("long").alias("last_end"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(units(spark, sf_dir)).select(F.col("unit").alias("doc_id"), "masked", F.col("n_spans").cast("long").alias("n_spans"))
+
+
+def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(units(spark, sf_dir), policy(entities=("EMAIL_ADDRESS",))).select(F.col("unit").alias("doc_id"), "masked")
+
+
+def tag_registry_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings_of(D.detect(units(spark, sf_dir), policy(entities=("EMAIL_ADDRESS",))))
+    return registry(found).select("norm", F.col("index").cast("long").alias("idx"), "tag")
+
+
+def entity_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("unit"), "text", F.lit("").alias("hint"), "source")
+    s = D.detect(docs, policy(entities=("EMAIL_ADDRESS", "IP_ADDRESS"))).select("source", F.explode("spans").alias("s"))
+    return s.groupBy("source", F.col("s.entity").alias("entity")).agg(F.count("*").alias("n"))
+
+
+def detected_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors after the merge: doc_id, entity, start, end, value."""
+    f = findings_of(D.detect(units(spark, sf_dir)))
+    return f.select(F.col("unit").alias("doc_id"), "entity", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("text").alias("value"))
+
+
+def long_digit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = units(spark, sf_dir).withColumn("masked", F.col("text"))
+    return review_flags(u).select(F.col("unit").alias("doc_id"), "value")
+
+
+def gate_value_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = units(spark, sf_dir)
+    chosen = policy(entities=("EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD"))
+    return left_values(mask(u, chosen), findings_of(D.detect(u, chosen))).select(F.col("unit").alias("doc_id"), "entity", "value")
+
+
+def gate_pattern_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return left_patterns(mask(units(spark, sf_dir))).select(F.col("unit").alias("doc_id"), "entity", "value")
+
+
+def propagate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents that equal an e-mail address found anywhere, however they are written."""
+    u = units(spark, sf_dir)
+    lex = lexicon(findings_of(D.detect(u, policy(entities=("EMAIL_ADDRESS",)))))
+    hits = exact_matches(flat_tokens(u), lex)
+    return hits.groupBy(F.col("unit").alias("doc_id"), "key").agg(F.count("*").alias("n"))
+
+
+def propagate_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded and fuzzy variants of values that documents prove: names by surname-first lines, and contact data."""
+    u = units(spark, sf_dir)
+    lex = lexicon(findings_of(D.detect(u, policy(entities=("PERSON", "PHONE_NUMBER", "CREDIT_CARD", "GENERIC_ID")))))
+    t = flat_tokens(u)
+    folded = folded_matches(t, lex).select("unit", "tok", "entity", F.lit("folded").alias("how"))
+    fuzzy = fuzzy_matches(t, lex).filter(F.col("key") != F.col("word")).select("unit", "tok", "entity", F.lit("fuzzy").alias("how"))
+    return folded.union(fuzzy).groupBy(F.col("unit").alias("doc_id"), "entity", "how").agg(F.count("*").alias("n"))
+
+
+def normalized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", X.normalize(F.col("p_name")).alias("norm"), X.alnum(F.col("p_brand")).alias("brand_key"))
+
+
+def mask_customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return mask_columns(c, "c_custkey", ["c_name", "c_mktsegment"], policy(entities=("EMAIL_ADDRESS", "PHONE_NUMBER"))).select("c_custkey", "c_name", "c_mktsegment")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "detect_email": _found(D.email_spans, "EMAIL_ADDRESS", offsets=True),
+    "detect_email_pages": _found(D.email_spans, "EMAIL_ADDRESS", "pages"),
+    "detect_phone": _found(D.phone_spans, "PHONE_NUMBER"),
+    "detect_ssn": _found(D.ssn_spans, "US_SSN"),
+    "detect_ip": _found(D.validated_spans, "IP_ADDRESS"),
+    "detect_card": _found(D.validated_spans, "CREDIT_CARD"),
+    "detect_dates": _found(D.date_spans, "DATE"),
+    "detected_entities": detected_entities,
+    "tokens_per_doc": tokens_per_doc,
+    "token_lengths": token_lengths,
+    "tag_registry_email": tag_registry_email,
+    "entity_counts_by_source": entity_counts_by_source,
+    "mask_documents": mask_documents,
+    "mask_emails": mask_emails,
+    "mask_customer_cells": mask_customer_cells,
+    "normalized_parts": normalized_parts,
+    "long_digit_flags": long_digit_flags,
+    "gate_value_leaks": gate_value_leaks,
+    "gate_pattern_leaks": gate_pattern_leaks,
+    "propagate_exact": propagate_exact,
+    "propagate_variants": propagate_variants,
+}
+
+#: RE2 spellings of patterns; where Spark looks around, a group stands for the match.
+RE2_EMAIL = r"\b[\w.+-]{2,}@[\w.-]{2,}\b"
+RE2_PHONE = r"(?:^|[^0-9])((?:\+?1[-\s.])?\(?[0-9]{3}\)?[-\s.][0-9]{3}[-\s.][0-9]{4})\b"
+RE2_SSN = r"\b[0-9]{3}[-\s.][0-9]{2}[-\s.][0-9]{4}\b"
+RE2_IP = r"(?:^|[^0-9.])((?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))(?:$|[^0-9.]|\.$|\.[^0-9.])"
+#: Over text in which every other character is doubled, so that neighbours don't share the one between.
+RE2_CARD = r"(?:^|[^0-9])([0-9](?:(?:  |--)?[0-9]){12,18})(?:$|[^0-9])"
+_LETTERS = "length(regexp_replace(split_part(value, '@', 1), '[^\\pL]', '', 'g')) >= 2"
+_TRIMMED = "replace(lower(trim(regexp_replace(regexp_replace(value, '[,;|]+', ' ', 'g'), '\\s+', ' ', 'g'), ' .,;:#()[]{}/\\''\"<>|*' || chr(92) || chr(9) || chr(10) || chr(13))), 'ß', 'ss')"
+_EMAILS = f"""SELECT doc_id, k, value, sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY k) + coalesce(sum(length(value)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, unnest(m) AS value, unnest(g[1:len(m)]) AS gap FROM (SELECT doc_id, regexp_extract_all(text, '{RE2_EMAIL}') AS m, string_split_regex(text, '{RE2_EMAIL}') AS g FROM documents) WHERE len(m) > 0)"""
+_REGISTRY = f"SELECT norm, row_number() OVER (ORDER BY d, s) - 1 AS idx FROM (SELECT {_TRIMMED} AS norm, min(doc_id) AS d, min_by(start, doc_id * 1000000 + start) AS s FROM ({_EMAILS}) WHERE {_LETTERS} GROUP BY 1)"
+_LUHN = "(SELECT sum(CASE WHEN (len(dg) - i) % 2 = 0 THEN dg[i]::INT ELSE CASE WHEN dg[i]::INT * 2 > 9 THEN dg[i]::INT * 2 - 9 ELSE dg[i]::INT * 2 END END) FROM (SELECT string_split(regexp_replace(value, '[ -]', '', 'g'), '') AS dg), unnest(range(1, len(dg) + 1)) AS r(i)) % 10 = 0"
+
+ORACLES: dict[str, str] = {
+    "detect_email": f"SELECT doc_id, start::BIGINT AS start, value FROM ({_EMAILS}) WHERE {_LETTERS}",
+    "detect_email_pages": f"SELECT doc_id, value FROM (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{RE2_EMAIL}')) AS value FROM pages) WHERE {_LETTERS}",
+    "detect_phone": f"SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{RE2_PHONE}', 1)) AS value FROM documents) WHERE NOT (contains(value, '.') AND contains(value, ' ')) AND NOT contains(value, ',') AND NOT regexp_matches(trim(value), '^\\(?(800|833|844|855|866|877|888)\\)?[-\\s.]')",
+    "detect_ssn": f"SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{RE2_SSN}')) AS value FROM documents) WHERE NOT (contains(value, '.') AND contains(value, ' '))",
+    "detect_ip": f"SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{RE2_IP}', 1)) AS value FROM documents)",
+    "detect_card": f"SELECT doc_id, value FROM (SELECT doc_id, regexp_replace(v, '([ -])[ -]', '\\1', 'g') AS value FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\\1\\1', 'g'), '{RE2_CARD}', 1)) AS v FROM documents)) WHERE {_LUHN}",
+    "tokens_per_doc": "SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS n_tokens, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents",
+    "token_lengths": "SELECT doc_id, len(t)::BIGINT AS n, length(rtrim(text, ' ' || chr(10) || chr(9) || chr(13)))::BIGINT AS last_end, length(array_to_string(t, ''))::BIGINT AS n_chars FROM (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS t FROM documents) WHERE len(t) > 0",
+    "tag_registry_email": f"SELECT norm, idx, '<EMAIL#' || idx || '>' AS tag FROM ({_REGISTRY})",
+    "entity_counts_by_source": f"SELECT source, entity, count(*) AS n FROM (SELECT doc_id, 'EMAIL_ADDRESS' AS entity FROM ({_EMAILS}) WHERE {_LETTERS} UNION ALL SELECT doc_id, 'IP_ADDRESS' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{RE2_IP}', 1)) FROM documents)) JOIN documents USING (doc_id) GROUP BY 1, 2",
+    "mask_emails": f"WITH e AS ({_EMAILS}), r AS ({_REGISTRY}), t AS (SELECT e.doc_id, start, start + length(value) AS stop, '<EMAIL#' || idx || '>' AS tag FROM e JOIN r ON {_TRIMMED} = norm WHERE {_LETTERS}), p AS (SELECT t.doc_id, start, stop, tag, coalesce(lag(stop) OVER (PARTITION BY t.doc_id ORDER BY start), 0) AS before, max(stop) OVER (PARTITION BY t.doc_id) AS last FROM t), m AS (SELECT p.doc_id, string_agg(substr(text, before::INT + 1, (start - before)::INT) || tag, '' ORDER BY start) || substr(any_value(text), max(last)::INT + 1) AS masked FROM p JOIN documents d ON d.doc_id = p.doc_id GROUP BY 1) SELECT doc_id, coalesce(m.masked, text) AS masked FROM documents LEFT JOIN m USING (doc_id)",
+    "mask_customer_cells": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
+    "normalized_parts": "SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(p_name, '[,;|]+', ' ', 'g'), '\\s+', ' ', 'g'), ' .,;:#()[]{}/<>|*')) AS norm, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS brand_key FROM part",
+    "long_digit_flags": "SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '<[A-Z_]+#[0-9]+>', ' ', 'g'), '[0-9]+')) AS value FROM documents) WHERE length(value) >= 9",
+    "propagate_exact": f"WITH lex AS (SELECT DISTINCT {_TRIMMED} AS key FROM ({_EMAILS}) WHERE {_LETTERS}), t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS value FROM documents) SELECT doc_id, key, count(*) AS n FROM (SELECT doc_id, {_TRIMMED} AS key FROM t) JOIN lex USING (key) GROUP BY 1, 2",
+    "gate_value_leaks": "SELECT doc_id, 'x' AS entity, text AS value FROM documents WHERE false",
+    "gate_pattern_leaks": "SELECT doc_id, 'x' AS entity, text AS value FROM documents WHERE false",
+}
