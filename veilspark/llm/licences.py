@@ -133,4 +133,4 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
     rows = rows.select("doc_id", "n_words", every.alias("_all"), base.alias("_base"), F.when(F.size("_blocks") > 0, looked).alias("matches"))
     names = F.coalesce(F.map_keys("matches"), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max(F.map_values("matches")), F.lit(0.0))
-    return rows.select("doc_id", "n_words", F.size("_all").cast("long").alias("n_base"), F.array_min("_all").alias("first_word"), F.array_max("_all").alias("last_word"), F.array_join("_base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("_base", names)), ",").alias("labels"), F.when(F.size("_all") > 0, F.lit(1.0)).otherwise(best).alias("score"))
+    return rows.select("doc_id", "n_words", F.size("_all").cast("long").alias("n_base"), F.array_min("_all").alias("first_word"), F.array_max("_all").alias("last_word"), F.array_join("_base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("_base", names)), ",").alias("labels"), F.when(F.size("_all") > 0, F.lit(1.0)).otherwise(best).alias("score"), "matches")
