@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"(?U)\S+"
 
@@ -60,7 +61,7 @@ def assign_lines(tokens: DataFrame, tolerance: float = 0.5) -> DataFrame:
             out.append(at)
         return pdf.assign(line=out).drop(columns="_c")
 
-    schema = tokens.drop("line").schema.add("line", "int")
+    schema = tokens.drop("line").schema.add("line", T.IntegerType())
     return tokens.drop("line").groupBy("unit", "page").applyInPandas(fold, schema)
 
 
