@@ -117,6 +117,10 @@ def _split_words(line: Column, w: Column) -> Column:
     return F.aggregate(found, begin, step, lambda a: a["out"])
 
 
+def _escaped(label: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and c != " " else c for c in label)
+
+
 def nearest_label(context: Column, hint: Column, providers: bool) -> Column:
     """Entity of the label nearest to a token, from the words before it (joined by blanks, lower case) and the hint, which is
     at distance 0; ties go to the earlier group and label. A provider label that wins gives the entity PROVIDER."""
@@ -124,7 +128,7 @@ def nearest_label(context: Column, hint: Column, providers: bool) -> Column:
     groups = list(ID_LABELS.items()) + ([("PROVIDER", PROVIDER_LABELS)] if providers else [])
     for entity, labels in groups:
         for label in labels:
-            quoted = r"(?<!\w)" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in label) + r"(?!\w)"
+            quoted = rf"(?<!\w){_escaped(label)}(?!\w)"
             after = F.regexp_extract(context, rf"(?s)^.*{quoted}(.*)$", 1)
             distance = F.when(hint.rlike(quoted), F.lit(0)).when(context.rlike(quoted), F.length(after) - F.length(F.replace(after, F.lit(" "), F.lit(""))) + 1)
             options.append(F.when(distance.isNotNull(), F.struct(distance.alias("d"), F.lit(order).alias("o"), F.lit(entity).alias("entity"))))
@@ -150,7 +154,9 @@ def context_spans(units: DataFrame, chosen: Policy) -> DataFrame:
     years = F.regexp_extract("bare", AGE, 1)
     is_age = F.col("bare").rlike(AGE) & years.try_cast("int").between(chosen.min_masked_age, MAX_AGE) & (F.lower("bare").rlike("year|yr") | near.rlike(AGE_LABEL))
     is_id = F.length("clean").between(4, 64) & F.col("clean").rlike(r"\d") & F.col("clean").rlike(CANDIDATE) & ~F.col("clean").rlike(r"\d\.\d") & ~F.col("bare").rlike(r"^\d{1,3}$")
-    label = F.when(is_id, nearest_label(F.col("context"), F.col("hint"), not chosen.mask_providers))
+    # Most candidates have no label near; one search tells that before each label is looked for.
+    every = {*(x for ls in ID_LABELS.values() for x in ls), *(PROVIDER_LABELS if not chosen.mask_providers else ())}
+    label = F.when(is_id & near.rlike("|".join(map(_escaped, sorted(every)))), nearest_label(F.col("context"), F.col("hint"), not chosen.mask_providers))
     found = rows.withColumn("entity", F.when(is_age, F.lit("AGE")).otherwise(label)).filter("entity is not null and entity != 'PROVIDER'")
     one = F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.length("word")).cast("int").alias("end"), "entity", F.lit(0.8).alias("score"), F.col("word").alias("text"), F.lit("spatial").alias("source"), F.lit(3).alias("det"))
     return found.groupBy("unit").agg(F.collect_list(one).alias("more"))
