@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,entity:string,score:double,text:string,source:string,det:int>"
@@ -36,6 +36,12 @@ def pattern_spans(text: Column, pattern: str, entity: str, score: float, source:
     return F.when(text.rlike(pattern), F.aggregate(found, begin, step, lambda a: a["out"])).otherwise(no_spans())
 
 
+def each_span(df: DataFrame, spans: Column | str, *columns: Column | str) -> DataFrame:
+    """columns and s, a row for each span. The outer form keeps the planner from evaluating the spans once more in a filter
+    for rows that have any."""
+    return df.select(*columns, F.explode_outer(spans).alias("s")).filter("s is not null")
+
+
 def merge_spans(spans: Column) -> Column:
     """Greedy selection: longest first, then best score, start, detector; what overlaps a chosen span goes. By start."""
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("k0"), (-s["score"]).alias("k1"), s["start"].alias("k2"), s["det"].alias("k3"), s.alias("s"))))

@@ -29,6 +29,10 @@ AGE = r"(?i)^(\d{1,3})(?:[-\s]?(?:years?|yrs?)(?:[-\s]?old)?)?$"
 AGE_LABEL = r"(?i)\b(?:age|dob|d\.o\.b|yrs|years?\s+old|y/o|birth)\b"
 OCR_NOISE = r"[\\|/_^~`·•]"
 MAX_AGE = 130
+#: A token with a digit; the look-behind keeps the search linear in texts without blanks.
+DIGIT_TOKEN = r"(?U)(?<!\S)[^\s0-9]*+[0-9]\S*"
+#: Tokens before a candidate in which a label is looked for.
+WINDOW = 4
 
 
 def ssn_spans(text: Column) -> Column:
@@ -123,43 +127,50 @@ def _escaped(label: str) -> str:
 
 def nearest_label(context: Column, hint: Column, providers: bool) -> Column:
     """Entity of the label nearest to a token, from the words before it (joined by blanks, lower case) and the hint, which is
-    at distance 0; ties go to the earlier group and label. A provider label that wins gives the entity PROVIDER."""
-    options, order = [], 0
+    nearest of all; at the same word the earlier group wins. A provider label that wins gives the entity PROVIDER.
+
+    A label is as far as the word that it ends in, so the words are tried from the last, each with a pattern a group."""
     groups = list(ID_LABELS.items()) + ([("PROVIDER", PROVIDER_LABELS)] if providers else [])
-    for entity, labels in groups:
-        for label in labels:
-            quoted = rf"(?<!\w){_escaped(label)}(?!\w)"
-            after = F.regexp_extract(context, rf"(?s)^.*{quoted}(.*)$", 1)
-            distance = F.when(hint.rlike(quoted), F.lit(0)).when(context.rlike(quoted), F.length(after) - F.length(F.replace(after, F.lit(" "), F.lit(""))) + 1)
-            options.append(F.when(distance.isNotNull(), F.struct(distance.alias("d"), F.lit(order).alias("o"), F.lit(entity).alias("entity"))))
-            order += 1
-    return F.array_min(F.array_compact(F.array(*options)))["entity"]
-
-
-def context_spans(units: DataFrame, chosen: Policy) -> DataFrame:
-    """unit and spans of identifiers and ages, by the four tokens before a candidate (across lines) and the hint."""
-    tokens = F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))
-    some = units.filter(F.col("text").rlike(r"\d")).select("unit", "text", F.lower(F.coalesce("hint", F.lit(""))).alias("hint"), tokens.alias("t"), F.split("text", r"(?U)\S+", -1).alias("gaps"))
-    places = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get(F.col("t"), i).rlike(r"\d"))
-    rows = some.filter(F.size("t") > 0).select("unit", "hint", "t", "gaps", F.explode(places).alias("i"))
-    word = F.get("t", F.col("i"))
-    first = F.greatest(F.col("i") - 4, F.lit(0))
-    context = F.lower(F.array_join(F.slice("t", first + 1, F.col("i") - first), " "))
-    lengths = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-    start = lengths(F.slice("gaps", F.lit(1), F.col("i") + 1)) + lengths(F.slice("t", F.lit(1), F.col("i")))
-    bare = F.btrim(word, F.lit(X.TOKEN_EDGES))
-    clean = F.regexp_replace(bare, OCR_NOISE, "")
-    rows = rows.select("unit", "hint", word.alias("word"), context.alias("context"), bare.alias("bare"), clean.alias("clean"), start.alias("start"))
-    near = F.concat_ws(" ", "hint", "context")
-    years = F.regexp_extract("bare", AGE, 1)
-    is_age = F.col("bare").rlike(AGE) & years.try_cast("int").between(chosen.min_masked_age, MAX_AGE) & (F.lower("bare").rlike("year|yr") | near.rlike(AGE_LABEL))
-    is_id = F.length("clean").between(4, 64) & F.col("clean").rlike(r"\d") & F.col("clean").rlike(CANDIDATE) & ~F.col("clean").rlike(r"\d\.\d") & ~F.col("bare").rlike(r"^\d{1,3}$")
-    # Most candidates have no label near; one search tells that before each label is looked for.
-    every = {*(x for ls in ID_LABELS.values() for x in ls), *(PROVIDER_LABELS if not chosen.mask_providers else ())}
-    label = F.when(is_id & near.rlike("|".join(map(_escaped, sorted(every)))), nearest_label(F.col("context"), F.col("hint"), not chosen.mask_providers))
-    found = rows.withColumn("entity", F.when(is_age, F.lit("AGE")).otherwise(label)).filter("entity is not null and entity != 'PROVIDER'")
-    one = F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.length("word")).cast("int").alias("end"), "entity", F.lit(0.8).alias("score"), F.col("word").alias("text"), F.lit("spatial").alias("source"), F.lit(3).alias("det"))
-    return found.groupBy("unit").agg(F.collect_list(one).alias("more"))
+    options = []
+    for k in range(-1, WINDOW):
+        for entity, labels in groups:
+            label = rf"(?<!\w)(?:{'|'.join(map(_escaped, labels))})(?!\w)"
+            here = hint.rlike(label) if k < 0 else context.rlike(rf"{label}\S*(?: \S+){{{k}}}$")
+            options.append(F.when(here, F.lit(entity)))
+    return F.coalesce(*options)
+
+
+def context_spans(text: Column, hint: Column, chosen: Policy) -> Column:
+    """Spans of identifiers and ages, by the four tokens before a candidate (across lines) and the hint. One fold over the
+    tokens with a digit carries the offset and the last four tokens, so a text costs time by its length."""
+    labels = "|".join(map(_escaped, sorted({*(x for ls in ID_LABELS.values() for x in ls), *(PROVIDER_LABELS if not chosen.mask_providers else ())})))
+    found = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(DIGIT_TOKEN), F.lit(0)).alias("t"), F.split(text, DIGIT_TOKEN, -1).alias("gap")), lambda x: x["t"].isNotNull())
+    hinted = F.lower(F.coalesce(hint, F.lit("")))
+    last = lambda a: F.slice(a, F.greatest(F.size(a) - WINDOW + 1, F.lit(1)), F.lit(WINDOW))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def entity(v: Column) -> Column:
+        years = F.regexp_extract(v["bare"], AGE, 1)
+        shaped = F.length(v["clean"]).between(4, 64) & v["clean"].rlike(r"\d") & v["clean"].rlike(CANDIDATE) & ~v["clean"].rlike(r"\d\.\d") & ~v["bare"].rlike(r"^\d{1,3}$")
+        near = F.concat_ws(" ", hinted, v["context"])
+        is_age = v["bare"].rlike(AGE) & years.try_cast("int").between(chosen.min_masked_age, MAX_AGE) & (F.lower(v["bare"]).rlike("year|yr") | near.rlike(AGE_LABEL))
+        # Most candidates have no label near; one search tells that before each group is looked for.
+        return F.when(is_age, F.lit("AGE")).when(shaped & near.rlike(labels), nearest_label(v["context"], hinted, not chosen.mask_providers))
+
+    def step(acc: Column, x: Column) -> Column:
+        before = last(F.concat(acc["tail"], F.filter(F.split(x["gap"], r"(?U)\s+", -1), lambda w: w != "")))
+        bare = F.btrim(x["t"], F.lit(X.TOKEN_EDGES))
+        facts = F.struct(before.alias("before"), F.lower(F.array_join(before, " ")).alias("context"), bare.alias("bare"), F.regexp_replace(bare, OCR_NOISE, "").alias("clean"), (acc["at"] + F.length(x["gap"])).alias("start"))
+
+        def grown(v: Column) -> Column:
+            end = v["start"] + F.length(x["t"])
+            one = let(entity(v), lambda e: F.when(e != "PROVIDER", F.array(F.struct(v["start"].cast("int").alias("start"), end.cast("int").alias("end"), e.alias("entity"), F.lit(0.8).alias("score"), x["t"].alias("text"), F.lit("spatial").alias("source"), F.lit(3).alias("det")))))
+            return F.struct(end.cast("int").alias("at"), last(F.concat(v["before"], F.array(x["t"]))).alias("tail"), F.concat(acc["out"], F.coalesce(one.cast(SPANS), no_spans())).alias("out"))
+
+        return let(facts, grown)
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("tail"), no_spans().alias("out"))
+    return F.when(text.rlike("[0-9]"), F.aggregate(found, begin, step, lambda a: a["out"])).otherwise(no_spans())
 
 
 def generic_name(value: Column) -> Column:
@@ -170,8 +181,7 @@ def generic_name(value: Column) -> Column:
 def detect(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
     """units (unit, text, hint; more columns stay) with spans: all detectors, the policy's filters, then the greedy merge.
 
-    unit must be unique. Null and blank texts have no spans. Contextual identifiers need one join on unit, and only if the
-    policy asks for them; all else is one pass over the text."""
+    Null and blank texts have no spans. All detectors are one pass over the text, without a shuffle."""
     chosen = chosen or policy()
     text = F.coalesce("text", F.lit(""))
     want = set(chosen.entities)
@@ -181,10 +191,9 @@ def detect(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
         parts.append(structural_spans(text, "ORGANIZATION" in want))
     if "DATE" in want:
         parts.append(date_spans(text))
-    out = units.withColumn("spans", F.concat(*parts))
     if want & {*ID_LABELS, "AGE"}:
-        out = out.join(context_spans(units, chosen), "unit", "left").withColumn("spans", F.concat("spans", F.coalesce(F.col("more").cast(SPANS), no_spans()))).drop("more")
+        parts.append(context_spans(text, F.col("hint"), chosen))
     allowed = F.array(*[F.lit(a) for a in chosen.allowlist]).cast("array<string>")
     allowed = F.transform(allowed, X.normalize)
     keep = lambda s: s["entity"].isin(*want) & ((s["source"] != "validator") | (s["score"] >= chosen.min_score)) & ~F.array_contains(allowed, X.normalize(s["text"])) & ~((s["entity"] == "PERSON") & generic_name(s["text"]))
-    return out.withColumn("spans", merge_spans(F.filter("spans", keep)) if want else no_spans())
+    return units.withColumn("spans", merge_spans(F.filter(F.concat(*parts), keep)) if want else no_spans())

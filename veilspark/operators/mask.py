@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import splice
+from veilspark.functions.spans import each_span, splice
 from veilspark.functions.text import normalize
 from veilspark.operators.detect import detect
 from veilspark.operators.policy import Policy
 from veilspark.operators.registry import registry
+from veilspark.sources.scratch import written
 
 
 def findings_of(detected: DataFrame) -> DataFrame:
     """A row for each span of detected units: unit, ord, and the span's fields."""
-    s = detected.select("unit", F.explode("spans").alias("s"))
+    s = each_span(detected, "spans", "unit")
     return s.select("unit", F.struct(F.col("unit").alias("doc"), F.col("s.start").alias("start"), F.col("s.det").alias("det")).alias("ord"), "s.*")
 
 
 def mask(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
     """units (unit long, text, hint) with masked, n_spans: each value replaced by its tag, numbered in the order of units.
 
-    Null texts stay null. One join brings tags to the units that have values; other units pass through."""
-    detected = detect(units, chosen)
-    found = findings_of(detected)
+    Null texts stay null. One join brings tags to the units that have values; other units pass through. Findings, far
+    smaller than the texts, are written first, as the numbering reads them several times."""
+    found = written(findings_of(detect(units, chosen)), "findings")
     tags = registry(found).select("entity", "norm", "tag")
     marks = found.withColumn("norm", normalize(F.col("text"))).join(tags, ["entity", "norm"]).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("marks"))
     out = units.join(marks, "unit", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import each_span
 from veilspark.functions.text import normalize, table_noise, without_tags
 from veilspark.operators.detect import date_spans, email_spans, phone_spans, ssn_spans
 
@@ -23,7 +24,8 @@ def left_values(masked: DataFrame, findings: DataFrame) -> DataFrame:
 def left_patterns(masked: DataFrame) -> DataFrame:
     """Gate 2, whatever the policy: numbers, addresses and dates with separators that fresh detectors find in masked text."""
     text = without_tags(F.coalesce("masked", F.lit("")))
-    found = masked.select("unit", F.explode(F.concat(ssn_spans(text), phone_spans(text), email_spans(text), F.filter(date_spans(text), lambda s: s["text"].rlike("[/-]")))).alias("s"))
+    fresh = F.concat(ssn_spans(text), phone_spans(text), email_spans(text), F.filter(date_spans(text), lambda s: s["text"].rlike("[/-]")))
+    found = each_span(masked, fresh, "unit")
     return found.select("unit", "s.entity", F.col("s.text").alias("value")).filter(~table_noise(F.col("entity"), F.col("value")))
 
 

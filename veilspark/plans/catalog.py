@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as X
+from veilspark.functions.spans import each_span
 from veilspark.operators import detect as D
 from veilspark.operators.mask import findings_of, mask, mask_columns
 from veilspark.operators.policy import policy
@@ -24,7 +25,7 @@ def units(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFra
 
 def _found(spans: Callable[[Column], Column], entity: str, table: str = "documents", offsets: bool = False) -> Callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = units(spark, sf_dir, table).select("unit", F.explode(spans(F.coalesce("text", F.lit("")))).alias("s")).filter(F.col("s.entity") == entity)
+        s = each_span(units(spark, sf_dir, table), spans(F.coalesce("text", F.lit(""))), "unit").filter(F.col("s.entity") == entity)
         where = [F.col("s.start").cast("long").alias("start")] if offsets else []
         return s.select(F.col("unit").alias("doc_id"), *where, F.col("s.text").alias("value"))
 
@@ -57,7 +58,7 @@ def tag_registry_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("unit"), "text", F.lit("").alias("hint"), "source")
-    s = D.detect(docs, policy(entities=("EMAIL_ADDRESS", "IP_ADDRESS"))).select("source", F.explode("spans").alias("s"))
+    s = each_span(D.detect(docs, policy(entities=("EMAIL_ADDRESS", "IP_ADDRESS"))), "spans", "source")
     return s.groupBy("source", F.col("s.entity").alias("entity")).agg(F.count("*").alias("n"))
 
 
