@@ -45,6 +45,11 @@ def test_note_is_masked(spark):
         ("Total 2,080.10 0730", []),
         ("CALDER, MIRA Q.", [("PERSON", "CALDER"), ("PERSON", "MIRA"), ("PERSON", "Q.")]),
         ("call 800-555-0147", []),
+        ("Customer name:\nMira Calder", [("PERSON", "Mira"), ("PERSON", "Calder")]),
+        ("Shipping window\nMira Calder", []),
+        ("Full Name a b c d e\n  Mira  Calder ", []),
+        ("Email\nCustomer Support", []),
+        ("a@b mira.c@example.net", [("EMAIL_ADDRESS", "mira.c@example.net")]),
         ("4111 1111 1111 1111 4111 1111 1111 1112", [("CREDIT_CARD", "4111 1111 1111 1111")]),
         ("GB82 WEST 1234 5698 7654 32", [("IBAN_CODE", "GB82 WEST 1234 5698 7654 32")]),
         ("", []),

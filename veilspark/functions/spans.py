@@ -19,9 +19,16 @@ def span(start: Column, end: Column, entity: str, score: float, text: Column, so
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(entity).alias("entity"), F.lit(score).alias("score"), text.alias("text"), F.lit(source).alias("source"), F.lit(det).alias("det"))
 
 
-def pattern_spans(text: Column, pattern: str, entity: str, score: float, source: str, det: int, keep: Callable[[Column, list[Column]], Column] | None = None, groups: int = 0) -> Column:
+def has(text: Column, pattern: str, needs: str) -> Column:
+    """Whether text has the pattern; where the quicker `needs` (plain text, or a pattern after re:) is missing it isn't tried."""
+    if not needs:
+        return text.rlike(pattern)
+    return (text.rlike(needs[3:]) if needs.startswith("re:") else text.contains(needs)) & text.rlike(pattern)
+
+
+def pattern_spans(text: Column, pattern: str, entity: str, score: float, source: str, det: int, keep: Callable[[Column, list[Column]], Column] | None = None, groups: int = 0, needs: str = "") -> Column:
     """Spans of the leftmost non-overlapping matches that `keep` (of the match and its groups) lets pass. Offsets are code
-    points and come from the gaps between matches."""
+    points and come from the gaps between matches. `needs` is a quicker pattern that every text with a match has."""
     fields = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(groups + 1)]
     found = F.filter(F.arrays_zip(*fields, F.split(text, pattern, -1).alias("gap")), lambda x: x["g0"].isNotNull())
 
@@ -33,7 +40,7 @@ def pattern_spans(text: Column, pattern: str, entity: str, score: float, source:
         return F.struct(end.cast("int").alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(found, begin, step, lambda a: a["out"])).otherwise(no_spans())
+    return F.when(has(text, pattern, needs), F.aggregate(found, begin, step, lambda a: a["out"])).otherwise(no_spans())
 
 
 def each_span(df: DataFrame, spans: Column | str, *columns: Column | str) -> DataFrame:

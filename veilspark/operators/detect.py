@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as X
-from veilspark.functions.labels import FACILITY_NOUNS, ID_LABELS, PROVIDER_LABELS, STREET_SUFFIXES, TOO_COMMON, UI_NOISE, US_STATES
-from veilspark.functions.spans import SPANS, merge_spans, no_spans, pattern_spans, span
+from veilspark.functions.labels import FACILITY_NOUNS, ID_LABELS, PERSON_LABELS, PROVIDER_LABELS, STREET_SUFFIXES, TOO_COMMON, UI_NOISE, US_STATES
+from veilspark.functions.spans import SPANS, has, merge_spans, no_spans, pattern_spans, span
 from veilspark.operators.policy import Policy, policy
 
 #: Shapes of values.
@@ -29,6 +31,14 @@ AGE = r"(?i)^(\d{1,3})(?:[-\s]?(?:years?|yrs?)(?:[-\s]?old)?)?$"
 AGE_LABEL = r"(?i)\b(?:age|dob|d\.o\.b|yrs|years?\s+old|y/o|birth)\b"
 OCR_NOISE = r"[\\|/_^~`·•]"
 MAX_AGE = 130
+#: What a text with a match of the pattern has in any case; quicker to look for.
+NEEDS = {
+    SSN: r"re:(?U)\d[-\s.]\d{4}", PHONE: r"re:(?U)\d[-\s.]\d{4}", EMAIL: "@", IPV4: r"re:\d\.\d", URL: "://", CARD: r"re:\d(?:[ -]?\d){12}", IBAN: r"re:[A-Z]{2}\d{2}",
+    SURNAME_FIRST: r"re:[A-Za-z'\-],\s+[A-Z]", STREET: r"re:\d\s", CITY: r"re:[A-Z]{2}\s+\d{5}", FACILITY: "",
+    DATES[0][0]: r"re:\d[/-]\d", DATES[1][0]: r"re:\d{4}-\d", DATES[2][0]: r"re:\d{8}", DATES[3][0]: r"re:\d{6}",
+}
+#: A line that is two to four capitalised words and nothing else.
+NAME_LINE = r"(?m)^(?U:\s*)" + WHOLE_NAME[1:-1] + r"(?U:\s*)$"
 #: A token with a digit; the look-behind keeps the search linear in texts without blanks.
 DIGIT_TOKEN = r"(?U)(?<!\S)[^\s0-9]*+[0-9]\S*"
 #: Tokens before a candidate in which a label is looked for.
@@ -36,15 +46,15 @@ WINDOW = 4
 
 
 def ssn_spans(text: Column) -> Column:
-    return pattern_spans(text, SSN, "US_SSN", 0.9, "pattern", 1, lambda m, _: ~X.money_shaped(m))
+    return pattern_spans(text, SSN, "US_SSN", 0.9, "pattern", 1, lambda m, _: ~X.money_shaped(m), needs=NEEDS[SSN])
 
 
 def phone_spans(text: Column) -> Column:
-    return pattern_spans(text, PHONE, "PHONE_NUMBER", 0.85, "pattern", 1, lambda m, _: ~X.money_shaped(m) & ~X.toll_free(m))
+    return pattern_spans(text, PHONE, "PHONE_NUMBER", 0.85, "pattern", 1, lambda m, _: ~X.money_shaped(m) & ~X.toll_free(m), needs=NEEDS[PHONE])
 
 
 def email_spans(text: Column) -> Column:
-    return pattern_spans(text, EMAIL, "EMAIL_ADDRESS", 0.9, "pattern", 1, lambda m, _: X.email_shaped(m))
+    return pattern_spans(text, EMAIL, "EMAIL_ADDRESS", 0.9, "pattern", 1, lambda m, _: X.email_shaped(m), needs=NEEDS[EMAIL])
 
 
 def date_spans(text: Column) -> Column:
@@ -53,7 +63,7 @@ def date_spans(text: Column) -> Column:
         number = lambda g: g.try_cast("int")
         short = 2000 if i == 3 else 0
         keep = lambda _, g, a=a, b=b, y=y, short=short: X.is_date(number(g[a - 1]), number(g[b - 1]), number(g[y - 1]) + short)
-        parts.append(pattern_spans(text, pattern, "DATE", 0.85, "date", 4, keep, 3))
+        parts.append(pattern_spans(text, pattern, "DATE", 0.85, "date", 4, keep, 3, NEEDS[pattern]))
     return F.concat(*parts)
 
 
@@ -61,10 +71,10 @@ def validated_spans(text: Column) -> Column:
     """What a named-entity provider would be asked for and public standards define: IP, URL, card by Luhn, IBAN by mod 97."""
     digits = lambda m: F.regexp_replace(m, "[ -]", "")
     return F.concat(
-        pattern_spans(text, IPV4, "IP_ADDRESS", 0.6, "validator", 0),
-        pattern_spans(text, URL, "URL", 0.6, "validator", 0),
-        pattern_spans(text, CARD, "CREDIT_CARD", 1.0, "validator", 0, lambda m, _: X.luhn(digits(m))),
-        pattern_spans(text, IBAN, "IBAN_CODE", 1.0, "validator", 0, lambda m, _: X.iban_valid(m)),
+        pattern_spans(text, IPV4, "IP_ADDRESS", 0.6, "validator", 0, needs=NEEDS[IPV4]),
+        pattern_spans(text, URL, "URL", 0.6, "validator", 0, needs=NEEDS[URL]),
+        pattern_spans(text, CARD, "CREDIT_CARD", 1.0, "validator", 0, lambda m, _: X.luhn(digits(m)), needs=NEEDS[CARD]),
+        pattern_spans(text, IBAN, "IBAN_CODE", 1.0, "validator", 0, lambda m, _: X.iban_valid(m), needs=NEEDS[IBAN]),
     )
 
 
@@ -84,13 +94,13 @@ def structural_spans(text: Column, organizations: bool = False) -> Column:
     """Per line: surname first, street, city with state and zip, facility. Whole tokens are covered; names are split in words."""
     lines = F.split(text, "\n", -1)
     kinds = [(SURNAME_FIRST, "PERSON", 0.75), (STREET, "LOCATION", 0.7), (CITY, "LOCATION", 0.7)] + [(FACILITY, "ORGANIZATION", 0.7)] * organizations
-    any_of = "|".join(f"(?:{p})" for p, _, _ in kinds)
+    any_of = lambda t: reduce(Column.__or__, [has(t, p, NEEDS[p]) for p, _, _ in kinds])
 
     def of_line(line: Column) -> Column:
         found = []
         for pattern, entity, score in kinds:
             keep = (lambda _, g: ~g[1].isin(*US_STATES)) if entity == "PERSON" else None
-            raw = pattern_spans(line, pattern, entity, score, "structural", 2, keep, 3 if entity == "PERSON" else 0)
+            raw = pattern_spans(line, pattern, entity, score, "structural", 2, keep, 3 if entity == "PERSON" else 0, NEEDS[pattern])
             wide = F.transform(raw, lambda s: _words_of_span(line, s))
             if entity == "PERSON":
                 wide = F.flatten(F.transform(wide, lambda w: _split_words(line, w)))
@@ -101,9 +111,31 @@ def structural_spans(text: Column, organizations: bool = False) -> Column:
 
     def step(acc: Column, line: Column) -> Column:
         moved = F.transform(of_line(line), lambda s: s.withField("start", s["start"] + acc["at"]).withField("end", s["end"] + acc["at"]))
-        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.when(line.rlike(any_of), F.concat(acc["out"], moved.cast(SPANS))).otherwise(acc["out"]).alias("out"))
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.when(any_of(line), F.concat(acc["out"], moved.cast(SPANS))).otherwise(acc["out"]).alias("out"))
+
+    return F.when(any_of(text), F.aggregate(lines, begin, step, lambda a: a["out"])).otherwise(no_spans())
+
+
+def labelled_name_spans(text: Column) -> Column:
+    """Names by their label: a line of two to four capitalised words with a name's label among the four tokens before any of
+    them (so the line's own words count too), each word a span. The fold carries the last four tokens from line to line."""
+    labels = "|".join(map(_escaped, PERSON_LABELS))
+
+    def step(acc: Column, line: Column) -> Column:
+        words = F.filter(F.split(line, r"(?U)\s+", -1), lambda w: w != "")
+        before = F.concat(acc["tail"], F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+        named = line.rlike(NAME_LINE) & F.lower(F.array_join(before, " ")).rlike(labels) & ~generic_name(line)
+        found = F.transform(_split_words(line, F.struct(F.lit(0).alias("a"), F.length(line).alias("b"))), _structural(line, "PERSON", 0.8))
+        moved = F.transform(found, lambda s: s.withField("start", s["start"] + acc["at"]).withField("end", s["end"] + acc["at"]))
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), _last(F.concat(acc["tail"], words)).alias("tail"), F.when(named, F.concat(acc["out"], moved.cast(SPANS))).otherwise(acc["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("tail"), no_spans().alias("out"))
+    return F.when(text.rlike(NAME_LINE) & F.lower(text).rlike(labels), F.aggregate(F.split(text, "\n", -1), begin, step, lambda a: a["out"])).otherwise(no_spans())
+
 
-    return F.when(text.rlike(any_of), F.aggregate(lines, begin, step, lambda a: a["out"])).otherwise(no_spans())
+def _last(words: Column) -> Column:
+    """The last WINDOW of an array of tokens."""
+    return F.slice(words, F.greatest(F.size(words) - WINDOW + 1, F.lit(1)), F.lit(WINDOW))
 
 
 def _split_words(line: Column, w: Column) -> Column:
@@ -146,7 +178,6 @@ def context_spans(text: Column, hint: Column, chosen: Policy) -> Column:
     labels = "|".join(map(_escaped, sorted({*(x for ls in ID_LABELS.values() for x in ls), *(PROVIDER_LABELS if not chosen.mask_providers else ())})))
     found = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(DIGIT_TOKEN), F.lit(0)).alias("t"), F.split(text, DIGIT_TOKEN, -1).alias("gap")), lambda x: x["t"].isNotNull())
     hinted = F.lower(F.coalesce(hint, F.lit("")))
-    last = lambda a: F.slice(a, F.greatest(F.size(a) - WINDOW + 1, F.lit(1)), F.lit(WINDOW))
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
 
     def entity(v: Column) -> Column:
@@ -158,14 +189,14 @@ def context_spans(text: Column, hint: Column, chosen: Policy) -> Column:
         return F.when(is_age, F.lit("AGE")).when(shaped & near.rlike(labels), nearest_label(v["context"], hinted, not chosen.mask_providers))
 
     def step(acc: Column, x: Column) -> Column:
-        before = last(F.concat(acc["tail"], F.filter(F.split(x["gap"], r"(?U)\s+", -1), lambda w: w != "")))
+        before = _last(F.concat(acc["tail"], F.filter(F.split(x["gap"], r"(?U)\s+", -1), lambda w: w != "")))
         bare = F.btrim(x["t"], F.lit(X.TOKEN_EDGES))
         facts = F.struct(before.alias("before"), F.lower(F.array_join(before, " ")).alias("context"), bare.alias("bare"), F.regexp_replace(bare, OCR_NOISE, "").alias("clean"), (acc["at"] + F.length(x["gap"])).alias("start"))
 
         def grown(v: Column) -> Column:
             end = v["start"] + F.length(x["t"])
             one = let(entity(v), lambda e: F.when(e != "PROVIDER", F.array(F.struct(v["start"].cast("int").alias("start"), end.cast("int").alias("end"), e.alias("entity"), F.lit(0.8).alias("score"), x["t"].alias("text"), F.lit("spatial").alias("source"), F.lit(3).alias("det")))))
-            return F.struct(end.cast("int").alias("at"), last(F.concat(v["before"], F.array(x["t"]))).alias("tail"), F.concat(acc["out"], F.coalesce(one.cast(SPANS), no_spans())).alias("out"))
+            return F.struct(end.cast("int").alias("at"), _last(F.concat(v["before"], F.array(x["t"]))).alias("tail"), F.concat(acc["out"], F.coalesce(one.cast(SPANS), no_spans())).alias("out"))
 
         return let(facts, grown)
 
@@ -189,6 +220,8 @@ def detect(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
     parts += [f(text) for f, e in ((email_spans, "EMAIL_ADDRESS"), (phone_spans, "PHONE_NUMBER"), (ssn_spans, "US_SSN")) if e in want]
     if want & {"PERSON", "LOCATION", "ORGANIZATION"}:
         parts.append(structural_spans(text, "ORGANIZATION" in want))
+    if "PERSON" in want:
+        parts.append(labelled_name_spans(text))
     if "DATE" in want:
         parts.append(date_spans(text))
     if want & {*ID_LABELS, "AGE"}:

@@ -16,6 +16,7 @@ from veilspark.operators.propagate import exact_matches, folded_matches, fuzzy_m
 from veilspark.operators.registry import registry
 from veilspark.operators.tokens import flat_tokens, token_count
 from veilspark.operators.verify import left_patterns, left_values, review_flags
+from veilspark.sources.scratch import written
 
 
 def units(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -86,7 +87,7 @@ def gate_pattern_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def propagate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents that equal an e-mail address found anywhere, however they are written."""
     u = units(spark, sf_dir)
-    lex = lexicon(findings_of(D.detect(u, policy(entities=("EMAIL_ADDRESS",)))))
+    lex = written(lexicon(findings_of(D.detect(u, policy(entities=("EMAIL_ADDRESS",))))), "lexicon")
     hits = exact_matches(flat_tokens(u), lex)
     return hits.groupBy(F.col("unit").alias("doc_id"), "key").agg(F.count("*").alias("n"))
 
@@ -94,7 +95,7 @@ def propagate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def propagate_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded and fuzzy variants of values that documents prove: names by surname-first lines, and contact data."""
     u = units(spark, sf_dir)
-    lex = lexicon(findings_of(D.detect(u, policy(entities=("PERSON", "PHONE_NUMBER", "CREDIT_CARD", "GENERIC_ID")))))
+    lex = written(lexicon(findings_of(D.detect(u, policy(entities=("PERSON", "PHONE_NUMBER", "CREDIT_CARD", "GENERIC_ID"))))), "lexicon")
     t = flat_tokens(u)
     folded = folded_matches(t, lex).select("unit", "tok", "entity", F.lit("folded").alias("how"))
     fuzzy = fuzzy_matches(t, lex).filter(F.col("key") != F.col("word")).select("unit", "tok", "entity", F.lit("fuzzy").alias("how"))
