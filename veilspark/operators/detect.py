@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,13 +209,14 @@ def generic_name(value: Column) -> Column:
     return F.forall(F.split(X.normalize(value), " "), lambda w: F.array_contains(words, w))
 
 
-def detect(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
-    """units (unit, text, hint; more columns stay) with spans: all detectors, the policy's filters, then the greedy merge.
-
-    Null and blank texts have no spans. All detectors are one pass over the text, without a shuffle."""
-    chosen = chosen or policy()
+@lru_cache(maxsize=64)
+def spans_of(chosen: Policy) -> Column:
+    """The merged spans of columns text and hint. Columns don't change, and building this one costs thousands of calls to the
+    JVM, so it's built once a policy."""
     text = F.coalesce("text", F.lit(""))
     want = set(chosen.entities)
+    if not want:
+        return no_spans()
     parts = [validated_spans(text)]
     parts += [f(text) for f, e in ((email_spans, "EMAIL_ADDRESS"), (phone_spans, "PHONE_NUMBER"), (ssn_spans, "US_SSN")) if e in want]
     if want & {"PERSON", "LOCATION", "ORGANIZATION"}:
@@ -226,7 +227,13 @@ def detect(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
         parts.append(date_spans(text))
     if want & {*ID_LABELS, "AGE"}:
         parts.append(context_spans(text, F.col("hint"), chosen))
-    allowed = F.array(*[F.lit(a) for a in chosen.allowlist]).cast("array<string>")
-    allowed = F.transform(allowed, X.normalize)
+    allowed = F.transform(F.array(*[F.lit(a) for a in chosen.allowlist]).cast("array<string>"), X.normalize)
     keep = lambda s: s["entity"].isin(*want) & ((s["source"] != "validator") | (s["score"] >= chosen.min_score)) & ~F.array_contains(allowed, X.normalize(s["text"])) & ~((s["entity"] == "PERSON") & generic_name(s["text"]))
-    return units.withColumn("spans", merge_spans(F.filter(F.concat(*parts), keep)) if want else no_spans())
+    return merge_spans(F.filter(F.concat(*parts), keep))
+
+
+def detect(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
+    """units (unit, text, hint; more columns stay) with spans: all detectors, the policy's filters, then the greedy merge.
+
+    Null and blank texts have no spans. All detectors are one pass over the text, without a shuffle."""
+    return units.withColumn("spans", spans_of(chosen or policy()))

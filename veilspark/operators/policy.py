@@ -31,4 +31,4 @@ def policy(profile: str = "general", entities: tuple[str, ...] | None = None, ma
         base = replace(base, entities=tuple(entities))
     elif mask_organizations:
         base = replace(base, entities=(*base.entities, "ORGANIZATION"))
-    return replace(base, **{k: v for k, v in chosen.items() if v is not None})
+    return replace(base, **{k: tuple(v) if k == "allowlist" else v for k, v in chosen.items() if v is not None})
