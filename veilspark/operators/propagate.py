@@ -46,7 +46,8 @@ def fuzzy_matches(tokens: DataFrame, lex: DataFrame, ratio: float = RATIO) -> Da
 
     A pair at the ratio differs by d edits at most, so of the d + 1 pieces of a key one stands unchanged in the word, moved
     by d places at most. Distinct words and keys meet on (key length, piece, letters), an equality join that loses no pair;
-    edit distance and the exact ratio are computed for these only."""
+    edit distance and the exact ratio are computed for these only. Where the planner knows that the lexicon is small, as
+    that of a written one, it broadcasts the pieces of keys and those of words are never shuffled."""
     words = tokens.withColumn("word", letters(normalize(F.col("text")))).filter(F.length("word") >= 5)
     keys = lex.filter((F.col("entity") == "PERSON") & F.col("key").rlike(r"^\p{L}{5,}$")).select("key", F.length("key").alias("n"))
     keys = keys.withColumn("d", _edits(F.col("n"), ratio)).select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
@@ -55,7 +56,7 @@ def fuzzy_matches(tokens: DataFrame, lex: DataFrame, ratio: float = RATIO) -> Da
     seen = words.select("word").distinct().select("word", F.explode(F.sequence(F.greatest(F.length("word") - 2, F.lit(5)), F.length("word") + 2)).alias("n"))
     seen = seen.withColumn("d", _edits(F.col("n"), ratio)).select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
     seen = seen.select("*", F.explode(F.sequence(F.greatest(begin - F.col("d"), F.lit(0)), begin + F.col("d"))).alias("at"))
-    seen = seen.select("word", "n", "i", F.substring("word", F.col("at") + 1, end - begin).alias("piece")).distinct()
+    seen = seen.select("word", "n", "i", F.substring("word", F.col("at") + 1, end - begin).alias("piece"))
     pairs = seen.join(pieces, ["n", "i", "piece"]).select("word", "key").distinct().filter(F.levenshtein("word", "key") <= F.floor((1 - F.lit(ratio)) * (F.length("word") + F.length("key")) + 1e-9))
 
     @F.pandas_udf("double")
