@@ -16,12 +16,13 @@ from veilspark.operators.propagate import exact_matches, folded_matches, fuzzy_m
 from veilspark.operators.registry import registry
 from veilspark.operators.tokens import flat_tokens, token_count
 from veilspark.operators.verify import left_patterns, left_values, review_flags
-from veilspark.sources.scratch import written
+from veilspark.sources.scratch import dealt, written
 
 
 def units(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     key, text = {"documents": ("doc_id", "text"), "pages": ("page_id", "html")}[table]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("unit"), F.col(text).alias("text"), F.lit("").alias("hint"))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("unit"), F.col(text).alias("text"))
+    return dealt(rows, "unit").withColumn("hint", F.lit(""))
 
 
 def _found(spans: Callable[[Column], Column], entity: str, table: str = "documents", offsets: bool = False) -> Callable:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where the cluster names no shared folder (tests on one machine).
 LOCAL = "/tmp/checkpoints/veilspark"
+#: Bytes up to which a table is dealt over the cores before work that is heavy on a row.
+SMALL = 1 << 30
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +22,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/masking/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores by key if its files are at most SMALL bytes, which may be few row groups and so few tasks; a larger
+    table is read as it lies, without a shuffle. The rows are the same."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SMALL else df
