@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import each_span, splice
@@ -19,17 +19,25 @@ def findings_of(detected: DataFrame) -> DataFrame:
     return s.select("unit", F.struct(F.col("unit").alias("doc"), F.col("s.start").alias("start"), F.col("s.det").alias("det")).alias("ord"), "s.*")
 
 
-def mask(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
-    """units (unit long, text, hint) with masked, n_spans: each value replaced by its tag, numbered in the order of units.
+def marked(units: DataFrame, chosen: Policy | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings (unit, ord, the span's fields, tag) and units with marks (start, end, tag in order; null for none).
 
-    Null texts stay null. One join brings tags to the units that have values; other units pass through. Findings, far
-    smaller than the texts, are written first, as the numbering reads them several times."""
+    Findings, far smaller than the texts, are written first, as the numbering reads them several times. Tags are numbered in
+    the order of units; one join brings them to the units that have values."""
     found = written(findings_of(detect(units, chosen)), "findings")
-    tags = registry(found).select("entity", "norm", "tag")
-    marks = found.withColumn("norm", normalize(F.col("text"))).join(tags, ["entity", "norm"]).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("marks"))
-    out = units.join(marks, "unit", "left")
-    text = F.when(F.col("marks").isNotNull(), splice(F.col("text"), F.col("marks"))).otherwise(F.col("text"))
-    return out.select(*units.columns, text.alias("masked"), F.coalesce(F.size("marks"), F.lit(0)).alias("n_spans"))
+    tagged = found.withColumn("norm", normalize(F.col("text"))).join(registry(found).select("entity", "norm", "tag"), ["entity", "norm"])
+    marks = tagged.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("marks"))
+    return tagged, units.join(marks, "unit", "left")
+
+
+def masked_text(text: str = "text", marks: str = "marks") -> Column:
+    return F.when(F.col(marks).isNotNull(), splice(F.col(text), F.col(marks))).otherwise(F.col(text))
+
+
+def mask(units: DataFrame, chosen: Policy | None = None) -> DataFrame:
+    """units (unit long, text, hint) with masked, n_spans: each value replaced by its tag; null texts stay null."""
+    _, out = marked(units, chosen)
+    return out.select(*units.columns, masked_text().alias("masked"), F.coalesce(F.size("marks"), F.lit(0)).alias("n_spans"))
 
 
 def mask_columns(df: DataFrame, key: str, columns: list[str], chosen: Policy | None = None) -> DataFrame:

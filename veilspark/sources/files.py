@@ -1,22 +1,20 @@
-"""Files as units: plain text, CSV cells and Word paragraphs, read by Spark's binary source on any file system."""
+"""Files as units: plain text, CSV cells, Word and Excel files, read by Spark's binary source on any file system."""
 
 from __future__ import annotations
 
 import csv
 import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UNITS = "path string, surface string, row int, col int, hint string, text string"
-#: Parts of a Word file that hold text, and its namespace.
-STORY = r"word/(document|glossary/document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml"
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+from veilspark.sources.office import PLACES, office_units
+
+#: A unit is the place-th of its file.
+UNITS = "path string, surface string, row int, col int, hint string, text string, place int"
 
 
 def decoded(content: Column) -> Column:
@@ -27,45 +25,44 @@ def decoded(content: Column) -> Column:
 def text_units(spark: SparkSession, path: str) -> DataFrame:
     """A unit for each file."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.lit("text").alias("surface"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("").alias("hint"), decoded(F.col("content")).alias("text"))
+    return files.select("path", F.lit("text").alias("surface"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("").alias("hint"), decoded(F.col("content")).alias("text"), F.lit(0).alias("place"))
 
 
 def csv_cells(name: str, content: bytes) -> Iterator[tuple]:
     """Cells in order; the first row gives hints to the cells below and has none itself; short and long rows are allowed."""
     header: list[str] = []
+    place = 0
     for r, cells in enumerate(csv.reader(io.StringIO(content.decode("utf-8", "replace"), newline=""))):
         header = cells if r == 0 else header
         for c, cell in enumerate(cells):
-            yield name, "cell", r, c, header[c] if r and c < len(header) else "", cell
-
-
-def docx_paragraphs(name: str, content: bytes) -> Iterator[tuple]:
-    """Paragraphs at any depth of every story part; tabs and breaks count as characters."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for part in sorted(n for n in z.namelist() if re.fullmatch(STORY, n)):
-            for r, p in enumerate(ElementTree.fromstring(z.read(part)).iter(f"{W}p")):
-                chars = {f"{W}tab": "\t", f"{W}ptab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "-"}
-                runs = [leaf for run in [*p.findall(f"{W}r"), *p.findall(f"{W}hyperlink/{W}r")] for leaf in run] if p.find(f"{W}hyperlink") is None else [leaf for x in p for run in ([x] if x.tag == f"{W}r" else x.findall(f"{W}r") if x.tag == f"{W}hyperlink" else []) for leaf in run]
-                yield name, part, r, 0, "", "".join(leaf.text or "" if leaf.tag == f"{W}t" else chars.get(leaf.tag, "") for leaf in runs)
+            yield name, "cell", r, c, header[c] if r and c < len(header) else "", cell, place
+            place += 1
 
 
-READERS = {".csv": csv_cells, ".docx": docx_paragraphs}
+READERS = {".csv": csv_cells} | {suffix: partial(office_units, suffix) for suffix in PLACES}
 
 
 def file_units(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """Units of files by suffix: .txt, .csv or .docx; another suffix is a ValueError."""
+    """Units of files by suffix: .txt, .csv, .docx or .xlsx; another suffix is a ValueError."""
     if suffix == ".txt":
         return text_units(spark, path)
     if suffix not in READERS:
         raise ValueError(f"unsupported file type {suffix!r}")
     reader = READERS[suffix]
 
+    return units_in(spark.read.format("binaryFile").load(path), reader)
+
+
+def units_in(files: DataFrame, reader: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
+    """Units of files (path, content) by a reader of one file."""
+    names = [f.split()[0] for f in UNITS.split(", ")]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(reader(name, bytes(content))), columns=["path", "surface", "row", "col", "hint", "text"])
+                yield pd.DataFrame(list(reader(name, bytes(content))), columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, UNITS)
+    return files.select("path", "content").mapInPandas(read, UNITS)
 
 
 def masked_name(stem: Column) -> Column:
