@@ -224,6 +224,17 @@ def test_repeated_passages(spark):
     assert len(less[0]) == len(texts[0]) and len(less[1]) < len(texts[1]) - 200 and less[2] == texts[2] and less[4] is None
 
 
+def test_every_passage_of_51_words_is_found(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(400):
+        say = lambda n, size=(1, 2, 4, 6)[i % 4]: " ".join("".join(rng.choice(list("abcdefghijklmnop"), size)) for _ in range(n))
+        passage = say(51)
+        texts += [say(60) + "(" + passage + ") " + say(60), say(45 + i % 20) + " " + passage + " " + say(70)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in repeats.repeated_passages(df).collect()} == set(range(len(texts)))
+
+
 def test_chat(spark):
     turns = [(c, t, ("user", "assistant")[t % 2], ("What is it about then?" if t % 2 == 0 else "It is a long answer that goes on and on about the matter at hand.")) for c in range(40) for t in range(6)]
     turns += [(99, t, ("user", "assistant")[t % 2], f"line {t}\n- more") for t in range(400)] + [(None, 0, "user", "x"), (100, 0, "user", None)]

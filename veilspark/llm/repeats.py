@@ -1,4 +1,4 @@
-"""Substring deduplication: content-defined chunks by a gear rolling hash, deduplicated by digest."""
+"""Substring deduplication: chunks of words taken by content, by gear hashes of their words, deduplicated by digest."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import skew_join, small_batches, staged
 
-#: A byte ends a chunk if the top MASK_BITS of the hash of the last 32 bytes are zero. Chunks have 16 to 256 bytes.
-MASK_BITS, LEAST, MOST = 5, 16, 256
-#: A repeated passage is a run of chunks that all occur elsewhere too, of at least so many bytes and words.
-RUN_BYTES, RUN_WORDS = 100, 20
+#: A chunk is RUN_WORDS words. Of any WINDOW neighbouring chunks the one with the least hash (the last of equal ones) is
+#: taken, besides the first and the last of a text, so WINDOW + RUN_WORDS - 1 words that texts share, 32, hold a chunk that
+#: is taken in each. A passage of over 50 words has 49 whole ones even if its ends touch other text.
+WINDOW = 13
+#: A repeated passage is a run of chunks that all occur elsewhere too, of at least so many bytes and words (20 words have 39).
+RUN_BYTES, RUN_WORDS = 39, 20
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4).digest() for i in range(256)), np.uint32).copy()
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
@@ -31,36 +33,38 @@ def gear_hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(raw: np.ndarray) -> list[int]:
-    """Ends of the chunks of UTF-8 bytes, always between characters."""
-    n = len(raw)
-    if not n:
-        return []
-    # The top bits depend on all of the last 32 bytes.
-    mark = (gear_hashes(raw) >> np.uint32(32 - MASK_BITS)) == 0
-    starts = np.ones(n + 1, bool)
-    starts[:n] = (raw & 0xC0) != 0x80
-    ends, last = [], 0
-    for end in (np.flatnonzero(mark & starts[1:]) + 1).tolist():
-        while end - last > MOST:
-            last += MOST
-            while not starts[last]:
-                last -= 1
-            ends.append(last)
-        if end - last >= LEAST:
-            ends.append(end)
-            last = end
-    while n - last > MOST:
-        last += MOST
-        while not starts[last]:
-            last -= 1
-        ends.append(last)
-    if n > last:
-        ends.append(n)
-    return ends
-
-
-CHUNKS = "array<struct<pos:int,start:int,n_bytes:int,word_starts:int,h1:bigint,h2:bigint>>"
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word the gear hash of its (last 32) bytes alone: what stands before the word is taken off."""
+    h, size = gear_hashes(raw), ends - starts
+    before = np.where((starts > 0) & (size < 32), h[starts - 1], np.uint32(0))
+    return h[ends - 1] - (before << np.minimum(size, 31).astype(np.uint32))
+
+
+def least_of_windows(h: np.ndarray) -> np.ndarray:
+    """Indices of the least hash, the last of equal ones, of each WINDOW neighbours (of all, if fewer), and of the ends."""
+    back = np.arange(len(h) - 1, -1, -1, dtype=np.uint64)
+    least, width = (h.astype(np.uint64) << np.uint64(32)) | back, 1
+    while width < min(WINDOW, len(h)):
+        k = min(width, min(WINDOW, len(h)) - width)
+        least, width = np.minimum(least[:-k], least[k:]), width + k
+    return np.unique(np.concatenate([[0, len(h) - 1], len(h) - 1 - (least & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
+
+
+def chunks_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the first word, start and end of the chunks taken from UTF-8 bytes; none below RUN_WORDS words."""
+    space = np.concatenate([[True], SPACE[raw], [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    n = len(starts) - RUN_WORDS + 1
+    if n < 1:
+        return (np.empty(0, np.int64),) * 3
+    words, h = word_hashes(raw, starts, ends).astype(np.uint64), np.zeros(n, np.uint64)
+    for k in range(RUN_WORDS):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    taken = least_of_windows(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32))
+    return taken, starts[taken], ends[taken + RUN_WORDS - 1]
+
+
+CHUNKS = "array<struct<pos:int,start:int,n_bytes:int,word:int,h1:bigint,h2:bigint>>"
 
 
 def chunk_batch(text: pa.Array) -> pa.Array:
@@ -68,29 +72,19 @@ def chunk_batch(text: pa.Array) -> pa.Array:
     offsets, parts, digests = [0], [], []
     for x in text:
         raw = (x.as_py() or "").encode("utf-8", "surrogatepass")
-        b = np.frombuffer(raw, np.uint8)
-        ends = chunk_ends(b)
-        if ends:
-            space = SPACE[b]
-            first = ~space
-            first[1:] &= space[:-1]
-            words = np.concatenate([[0], np.cumsum(first)])
-            e = np.array(ends)
-            s = np.concatenate([[0], e[:-1]])
-            parts.append(np.stack([np.arange(len(e)), s, e - s, words[e] - words[s]]).astype(np.int32))
-            last = 0
-            for end in ends:
-                digests.append(xxhash.xxh3_128_digest(raw[last:end]))
-                last = end
-        offsets.append(offsets[-1] + len(ends))
+        word, s, e = chunks_of(np.frombuffer(raw, np.uint8))
+        if len(word):
+            parts.append(np.stack([np.arange(len(e)), s, e - s, word]).astype(np.int32))
+            digests += [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+        offsets.append(offsets[-1] + len(word))
     cols = np.concatenate(parts, axis=1) if parts else np.empty((4, 0), np.int32)
     halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    flat = pa.StructArray.from_arrays([pa.array(c) for c in cols] + [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["pos", "start", "n_bytes", "word_starts", "h1", "h2"])
+    flat = pa.StructArray.from_arrays([pa.array(c) for c in cols] + [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["pos", "start", "n_bytes", "word", "h1", "h2"])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """A row for each chunk of each text: doc_id, row (of documents with that id, by text), pos, start, n_bytes, word_starts, digest."""
+    """A row for each chunk of each text: doc_id, row (of documents with that id, by text), pos, start, n_bytes, word, digest."""
     small_batches(docs.sparkSession)
     c = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.explode(F.arrow_udf(chunk_batch, CHUNKS)("text")).alias("c"))
     return c.select("doc_id", "row", "c.*").withColumn("digest", F.struct("h1", "h2")).drop("h1", "h2")
@@ -106,22 +100,24 @@ def repeated_passages(docs: DataFrame, least_bytes: int = RUN_BYTES, least_words
     """Passages of documents that occur elsewhere too: doc_id, start_byte, end_byte (UTF-8, end exclusive), n_chunks,
     n_words, most_places (of a chunk), is_first (every chunk has its first place here).
 
-    A row for each maximal run of neighbouring chunks that all occur at two or more places (in this or other documents) if
-    the run has least_bytes and least_words. Text shifted by insertions cuts into the same chunks after at most a chunk, so
-    a passage is found less up to a chunk at either end. Null, empty and short texts have no runs. Equal rows each give
+    Maximal runs of neighbouring chunks that all occur at two or more places (in this or other documents) are kept if the run
+    has least_bytes and least_words. A passage is found less up to WINDOW - 1 words at either end, whatever stands around it; one of
+    WINDOW + RUN_WORDS - 1 words or more is always found. Null, empty and short texts have no runs. Equal rows each give
     their passages. Repeats of chunks that are frequent everywhere are counted map-side, and rows of hot digests are salted.
     """
     chunks = staged(chunk_table(docs.select("doc_id", "text")), "chunks")
     again = staged(repeated_chunks(chunks), "repeated")
     hit = skew_join(chunks, again, "digest", "inner", F.col("row"))
     here = F.struct("doc_id", "row", "pos")
-    hit = hit.select("doc_id", "row", "pos", "start", "n_bytes", "word_starts", "places", (F.col("first") == here).alias("is_first"))
+    hit = hit.select("doc_id", "row", "pos", "start", "n_bytes", "word", "places", (F.col("first") == here).alias("is_first"))
     # Runs: pos less its rank within the document is the same for neighbours. Equal rows rank together, by dense_rank.
-    by = Window.partitionBy("doc_id", "row").orderBy("pos")
-    runs = hit.withColumn("run", F.col("pos") - F.dense_rank().over(by)).groupBy("doc_id", "row", "run")
-    out = runs.agg(F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("n_bytes")).alias("end_byte"), F.countDistinct("pos").alias("n_chunks"), F.sum("word_starts").alias("_words"), F.count("*").alias("_n"), F.max("places").alias("most_places"), F.min("is_first").alias("is_first"))
-    out = out.withColumn("n_words", (F.col("_words") * F.col("n_chunks") / F.col("_n")).cast("long"))
-    return out.filter((F.col("end_byte") - F.col("start_byte") >= least_bytes) & (F.col("n_words") >= least_words)).select("doc_id", "row", F.col("start_byte").cast("long"), F.col("end_byte").cast("long"), "n_chunks", "n_words", "most_places", "is_first")
+    since = lambda *keys: F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "row", *keys).orderBy("pos"))
+    runs = hit.withColumn("run", since()).groupBy("doc_id", "row", "run")
+    out = runs.agg(F.min("start").cast("long").alias("start_byte"), F.max(F.col("start") + F.col("n_bytes")).cast("long").alias("end_byte"), F.countDistinct("pos").alias("n_chunks"), F.min("word").alias("_from"), F.max(F.col("word") + RUN_WORDS).alias("_to"), F.max("places").alias("most_places"), F.min("is_first").alias("is_first"))
+    whole = Window.partitionBy("doc_id", "row", "run")
+    extent = lambda a, b: F.max(b).over(whole) - F.min(a).over(whole)
+    out = out.withColumn("_bytes", extent("start_byte", "end_byte")).withColumn("_words", extent("_from", "_to")).withColumn("n_words", (F.col("_to") - F.col("_from")).cast("long"))
+    return out.filter((F.col("_bytes") >= least_bytes) & (F.col("_words") >= least_words)).select("doc_id", "row", "start_byte", "end_byte", "n_chunks", "n_words", "most_places", "is_first")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
