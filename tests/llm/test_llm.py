@@ -235,6 +235,20 @@ def test_every_passage_of_51_words_is_found(spark):
     assert {r["doc_id"] for r in repeats.repeated_passages(df).collect()} == set(range(len(texts)))
 
 
+def test_one_copy_of_each_passage_stays(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    p, q, line, text = say(90), say(90), say(12), [say(80), say(80)]
+    texts = [say(50) + " " + q + " " + say(50), say(50) + " " + p + " " + q + " " + say(50), say(50) + " " + p + " " + say(50), say(40) + " " + line + " " + say(40)]
+    texts += [text[0] + " " + line + " " + text[1]] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = [r["text"] for r in repeats.without_repeats(df).orderBy("doc_id").collect()]
+    assert left[0] == texts[0] and p in left[1] and left[4] == texts[4]  # first places stay whole
+    assert all(len(left[i]) < len(texts[i]) - 300 for i in (1, 2, 5, 6))  # later ones go
+    words = [set(t.split()) for t in left]
+    assert set().union(*words) == {w for t in texts for w in t.split()}
+
+
 def test_chat(spark):
     turns = [(c, t, ("user", "assistant")[t % 2], ("What is it about then?" if t % 2 == 0 else "It is a long answer that goes on and on about the matter at hand.")) for c in range(40) for t in range(6)]
     turns += [(99, t, ("user", "assistant")[t % 2], f"line {t}\n- more") for t in range(400)] + [(None, 0, "user", "x"), (100, 0, "user", None)]

@@ -98,10 +98,11 @@ def repeated_chunks(chunks: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, least_bytes: int = RUN_BYTES, least_words: int = RUN_WORDS) -> DataFrame:
     """Passages of documents that occur elsewhere too: doc_id, start_byte, end_byte (UTF-8, end exclusive), n_chunks,
-    n_words, most_places (of a chunk), is_first (every chunk has its first place here).
+    n_words, most_places (of a chunk), is_first (every chunk has its first place here; else none has).
 
     Maximal runs of neighbouring chunks that all occur at two or more places (in this or other documents) are kept if the run
-    has least_bytes and least_words. A passage is found less up to WINDOW - 1 words at either end, whatever stands around it; one of
+    has least_bytes and least_words. A run gives a row for each part of it that is_first tells apart; as neighbouring chunks
+    overlap, so do parts. A passage is found less up to WINDOW - 1 words at either end, whatever stands around it; one of
     WINDOW + RUN_WORDS - 1 words or more is always found. Null, empty and short texts have no runs. Equal rows each give
     their passages. Repeats of chunks that are frequent everywhere are counted map-side, and rows of hot digests are salted.
     """
@@ -112,8 +113,8 @@ def repeated_passages(docs: DataFrame, least_bytes: int = RUN_BYTES, least_words
     hit = hit.select("doc_id", "row", "pos", "start", "n_bytes", "word", "places", (F.col("first") == here).alias("is_first"))
     # Runs: pos less its rank within the document is the same for neighbours. Equal rows rank together, by dense_rank.
     since = lambda *keys: F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "row", *keys).orderBy("pos"))
-    runs = hit.withColumn("run", since()).groupBy("doc_id", "row", "run")
-    out = runs.agg(F.min("start").cast("long").alias("start_byte"), F.max(F.col("start") + F.col("n_bytes")).cast("long").alias("end_byte"), F.countDistinct("pos").alias("n_chunks"), F.min("word").alias("_from"), F.max(F.col("word") + RUN_WORDS).alias("_to"), F.max("places").alias("most_places"), F.min("is_first").alias("is_first"))
+    runs = hit.withColumn("run", since()).withColumn("part", since("is_first")).groupBy("doc_id", "row", "run", "is_first", "part")
+    out = runs.agg(F.min("start").cast("long").alias("start_byte"), F.max(F.col("start") + F.col("n_bytes")).cast("long").alias("end_byte"), F.countDistinct("pos").alias("n_chunks"), F.min("word").alias("_from"), F.max(F.col("word") + RUN_WORDS).alias("_to"), F.max("places").alias("most_places"))
     whole = Window.partitionBy("doc_id", "row", "run")
     extent = lambda a, b: F.max(b).over(whole) - F.min(a).over(whole)
     out = out.withColumn("_bytes", extent("start_byte", "end_byte")).withColumn("_words", extent("_from", "_to")).withColumn("n_words", (F.col("_to") - F.col("_from")).cast("long"))
@@ -121,19 +122,21 @@ def repeated_passages(docs: DataFrame, least_bytes: int = RUN_BYTES, least_words
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with text less every passage that is not at its first place; n_chars, where there is one, is set anew."""
-    spans = repeated_passages(docs).filter("not is_first").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias("_spans"))
+    """docs with text less every passage that is not at its first place; n_chars, where there is one, is set anew. The first
+    place of every chunk stays whole."""
+    parts = F.array_sort(F.collect_set(F.struct("start_byte", "end_byte", "is_first")))
+    spans = repeated_passages(docs).groupBy("doc_id", "row").agg(parts.alias("_spans"), F.bool_and("is_first").alias("_whole")).filter("not _whole")
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for x, s in zip(text.to_pylist(), spans.to_pylist(), strict=True):
             if x is not None and s:
-                raw, kept, last = x.encode("utf-8", "surrogatepass"), [], 0
-                for y in s:
-                    kept.append(raw[last : y["start_byte"]])
-                    last = y["end_byte"]
-                x = b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass")
+                raw = np.frombuffer(x.encode("utf-8", "surrogatepass"), np.uint8)
+                stays = np.ones(len(raw), bool)
+                for y in sorted(s, key=lambda y: y["is_first"]):
+                    stays[y["start_byte"] : y["end_byte"]] = y["is_first"]
+                x = raw[stays].tobytes().decode("utf-8", "surrogatepass")
             out.append(x)
         return pa.array(out, pa.string())
 
