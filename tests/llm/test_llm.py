@@ -110,6 +110,24 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert secret_scan.findings(df, path).count() == 3
 
 
+def test_nothing_of_a_private_key_stays(spark):
+    body = [("MIIEvQ+/Ab9zYxWvUtSr" * 4)[:64]] * 24 + ["Qz7+/Kp="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF00FF00FF\n\n"
+    keys = [head + gap + gap.join([*body, end]) for gap in ("\n", "\r\n", "\\n", " ", "\n  ", '" +\n "')]
+    keys += [head + "\n" + fields + "\n".join([*body, end]), head.replace("RSA ", "") + "\n" + "\n".join([*body, end.replace("RSA ", "")])]
+    cut = [head + "\n" + x + "\n".join(body[k:]) for x in ("", fields) for k in (0, 24)] + [head + " " + " ".join(body)]
+    texts = [f"is it é {k}\nSome words - and more." for k in keys + cut] + [f"is it é {k[:-6]}" for k in cut] + [f"{head}, they say. Some words - and more.", keys[0] + " and - " + keys[6] + "\n" + cut[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = [r["text"] for r in secret_scan.redacted(df).orderBy("doc_id").collect()]
+    n = len(keys) + len(cut)
+    assert all(x in ("is it é [pem]\nSome words - and more.", "is it é [pem]Some words - and more.") for x in left[:n])
+    assert left[n : n + len(cut)] == ["is it é [pem]"] * len(cut)
+    assert left[-2:] == ["[pem], they say. Some words - and more.", "[pem] and - [pem]\n[pem]"]
+    spans = [r["spans"] for r in secret_scan.digest(secret_scan.findings(df)).orderBy("doc_id").collect()]
+    assert spans[0].startswith(f"pem:8:{8 + len(keys[0])}")
+
+
 def test_mix_is_near_its_targets(spark, corpus):
     out = mixing.mixed(corpus).collect()
     assert len(out) == corpus.count()

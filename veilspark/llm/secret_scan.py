@@ -31,10 +31,15 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
+#: A private key: its header and all up to the END line (no other header or END between). Where END is missing, the header's
+#: fields, lines of 16 or more base64 characters (at most 300) and a last shorter one that ends in =, with its line or with the text.
+BREAK, BASE64 = r"(?:[\t\n\f\r\x20]|\\[nr])", r"[A-Za-z0-9+/=]"
+KEY_TEXT = r"[^-]*(?:-{1,4}[^-]+){0,20}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+KEY_CUT = rf"(?:{BREAK}+(?:Proc-Type|DEK-Info|X-[A-Za-z-]+):[^\r\n\\]*){{0,5}}(?:{BREAK}+{BASE64 * 16}{BASE64}*){{0,300}}(?:{BREAK}+(?:[A-Za-z0-9+/]+={{1,2}}|{BASE64}+\z)|{BREAK}*[\r\n]{BREAK}*{BASE64}+[\r\n])?"
 #: What the method adds.
 ADDED = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", 2, rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{KEY_TEXT}|{KEY_CUT})"),
     Rule("bearer", 1, r"(?i)bearer\x20+[A-Za-z0-9+/_.=-]{20,}"),
 )
 RULES = BASE + ADDED
