@@ -158,6 +158,26 @@ def test_licenses(spark):
         assert (r["matches"] or {}) == {k: v for k, v in best.items() if v >= 0.8}
 
 
+def test_licenses_wrapped_over_lines(spark):
+    texts = [
+        ("mit-grant", "Copyright (c) me\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software)"),
+        ("apache-grant", "/*\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n */"),
+        ("bsd-grant", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:"),
+        ("gpl-notice", "    This program is free software: you can redistribute it and/or modify\r\n    it under the terms of the GNU General Public License as published by\r\n    the Free Software Foundation"),
+    ]
+    labels = [k for k, _ in texts]
+    scattered = "\n".join(w + " and so on with what else there was" for w in licences.TEMPLATES["mit-grant"].split())
+    rows = [t for _, t in texts] + [("word " * 3000) + "\n" + texts[0][1] + "\n" + ("of this " * 2000), scattered]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = licences.scanned(df).orderBy("doc_id").collect()
+    assert [list(r["matches"] or {}) for r in out] == [[k] for k in [*labels, "mit-grant"]] + [[]]
+    words = licences.template_words(licences.TEMPLATES)
+    for r in out[:4]:
+        (k, score), w = next(iter(r["matches"].items())), re.findall("[a-z0-9]+", rows[r["doc_id"]].lower())
+        size = len(re.findall("[a-z0-9]+", licences.TEMPLATES[k].lower()))
+        assert score == max(len(set(w[i : i + size]) & set(words[k])) for i in range(len(w))) / len(words[k]) and k in r["labels"].split(",")
+
+
 def test_nearest_has_the_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 8)) * rng.uniform(0.5, 2, (1500, 1))

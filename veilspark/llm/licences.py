@@ -30,7 +30,7 @@ TEMPLATES = {
 }
 #: Share of a template's different words that a block must hold.
 CONTAINED = 0.8
-#: A block is a line.
+#: A block is a line, however long, or as many words as a template has, wherever lines break.
 LINE = r"\n"
 
 
@@ -75,23 +75,25 @@ def token_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = CONTAINED) -> tuple[list[str], Column, Column]:
-    """Words of which any text with a match holds one, the blocks to compare, and from them (as _blocks) a map of template
-    to the best containment that a block reaches, where it is at least `least`.
+    """Words of which any text with a match holds one, the lines to compare, and from them (as _blocks) and the words of the
+    text (as _seq) a map of template to the best containment that a block reaches, where it is at least `least`.
 
     Words are ordered by their frequency in the corpus, rare ones first. A block with `need` of a template's n words holds
     one of the first n - need + 1 (prefix filter); a document is looked into only if it has such a word, and a block is
     compared only if it has need words (length filter) and if its first word of the prefix comes early enough for need
-    words to follow (positional filter)."""
+    words to follow (positional filter). Windows of a text are compared only if the whole text has need words."""
     words = template_words(templates)
     counts = token_frequencies(docs, sorted({w for ws in words.values() for w in ws}))
     text, found = F.col("text"), []
     ordered = {k: sorted(ws, key=lambda w: (counts.get(w, 0), w)) for k, ws in words.items()}
+    sizes = {k: len(re.findall(NOT_GAP + "+", v)) for k, v in templates.items()}
     needs = {k: max(1, math.ceil(least * len(ws) - 1e-9)) for k, ws in ordered.items()}
     prefixes = {k: ws[: len(ws) - needs[k] + 1] for k, ws in ordered.items()}
     rare = sorted({w for ws in prefixes.values() for w in ws})
     blocks = F.filter(F.transform(F.split(text, LINE, -1), lambda b: F.array_distinct(words_of(b))), lambda b: F.arrays_overlap(b, F.array(*[F.lit(w) for w in rare])))
     for k, ws in ordered.items():
         found.append(F.transform("_blocks", _contained(k, ws, prefixes[k], needs[k])))
+        found.append(F.array(_windowed(k, ws, needs[k], sizes[k])))
     looked = F.aggregate(F.flatten(F.array(*found)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")), _better)
     return rare, blocks, looked
 
@@ -107,6 +109,24 @@ def _contained(label: str, words: list[str], prefix: list[str], need: int):
     return of
 
 
+def _windowed(label: str, words: list[str], need: int, size: int) -> Column:
+    """The best containment of the template in any `size` neighbouring words of the text (_seq), where it is enough."""
+    whole = F.array(*[F.lit(w) for w in words])
+
+    def best(held: Column) -> Column:
+        # A best window starts at a word of the template; as many words of it follow in the window as the window has at most.
+        def common(x: Column, i: Column) -> Column:
+            near = F.filter(F.slice(held, i + 1, F.lit(size)), lambda y: y["at"] < x["at"] + size)
+            return F.size(F.array_distinct(F.transform(near, lambda y: y["w"])))
+
+        return F.array_max(F.transform(held, common))
+
+    places = F.filter(F.transform("_seq", lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: F.array_contains(whole, x["w"]))
+    most = F.get(F.transform(F.array(places), best), F.lit(0))
+    score = F.get(F.transform(F.array(most), lambda m: F.when(m >= need, F.struct(F.lit(label).alias("label"), (m / F.lit(float(len(words)))).alias("score")))), F.lit(0))
+    return F.when(F.size(F.array_intersect(whole, F.col("_seq"))) >= need, score)
+
+
 def _better(acc: Column, x: Column) -> Column:
     return F.when(x.isNull(), acc).otherwise(F.map_zip_with(acc, F.map_from_arrays(F.array(x["label"]), F.array(x["score"])), lambda _, a, b: F.greatest(a, b)))
 
@@ -114,7 +134,8 @@ def _better(acc: Column, x: Column) -> Column:
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and matches for each row of docs.
 
-    base: places of the PHRASES. matches: template to the best containment of a block (a line) where it is at least `least`.
+    base: places of the PHRASES. matches: template to the best containment of a block (a line, or as many neighbouring words
+    as the template has, so that a notice may wrap over lines) where it is at least `least`.
     labels: base labels and names of matched templates. score: 1 with a base place, else the best containment, else 0. Null
     texts count as empty: no words, no labels, score 0. Repeated rows stay. An empty table gives no rows.
     """
@@ -127,7 +148,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
     none = F.array().cast("array<array<string>>")
     places = {phrase: f"_p{i}" for i, phrase in enumerate(PHRASES)}
     found = [F.when(F.col("_maybe"), phrase_places(F.col("text"), p)).otherwise(F.array().cast("array<bigint>")).alias(c) for p, c in places.items()]
-    rows = gated.select("doc_id", "n_words", F.when(F.col("_gate"), blocks).otherwise(none).alias("_blocks"), *found)
+    rows = gated.select("doc_id", "n_words", F.when(F.col("_gate"), blocks).otherwise(none).alias("_blocks"), F.when(F.col("_gate"), words_of(F.col("text"))).alias("_seq"), *found)
     every = F.concat(*places.values())
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(PHRASES[p])) for p, c in places.items()])))
     rows = rows.select("doc_id", "n_words", every.alias("_all"), base.alias("_base"), F.when(F.size("_blocks") > 0, looked).alias("matches"))
