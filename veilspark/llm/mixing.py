@@ -16,8 +16,8 @@ DIGITS = 3
 
 
 def shuffle_key() -> Column:
-    """A fixed hash by which documents are shuffled."""
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """A fixed hash by which documents are shuffled: of doc_id, and of the text where that is null."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text")), F.lit("")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -45,7 +45,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     within a part, so no task adds up a whole source or the whole queue.
 
     A null text has size 0; documents of size 0 are taken for nothing. A null source is a source of its own, the last. Ties
-    in the hash go by doc_id, size. Equal rows count each for itself. An empty table, or one without words, takes nothing.
+    in the hash go by doc_id, size; rows without doc_id are shuffled by their texts. Equal rows count each for itself. An empty table, or one without words, takes nothing.
     """
     rows = staged(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), shuffle_key().alias("h")), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
