@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import new_table_path, skew_join, staged
+from veilspark.functions.spans import let, match_places, running, splice
+from veilspark.llm.common import is_hot, new_table_path, skew_join, staged
 
 
 @dataclass(frozen=True)
@@ -44,31 +45,19 @@ ADDED = (
 )
 RULES = BASE + ADDED
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: As the ledger keeps them: with the key of the rule, not its place among the rules of one caller.
+KEPT = "array<struct<start:int,end:int,rule:string>>"
 
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, kind, end) of the rule's matches in code points; the gaps between matches give the positions."""
-    none = F.lit(None).cast(SPAN)
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("m"),
-        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("v"),
-        F.split(text, rule.pattern, -1).alias("gap"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["m"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end"))).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    # The last gap has no match beside it.
-    spans = F.aggregate(F.filter(found, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(none)
+def rule_spans(text: Column, rule: Rule) -> Column:
+    """Array of (start, end, rule) of the rule's matches in code points, as KEPT."""
+    found = F.filter(match_places(text, rule.pattern, [0, rule.group]), lambda x: F.length(x["g1"]) >= rule.least)
+    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["g0"])).cast("int").alias("end"), F.lit(rule.key).alias("rule")))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(KEPT))
 
 
 def ledger_schema() -> str:
-    return f"blob binary, rules array<string>, spans {SPAN}"
+    return f"blob binary, rules array<string>, spans {KEPT}, copies bigint"
 
 
 def blob_of(text: str | Column = "text") -> Column:
@@ -78,9 +67,10 @@ def blob_of(text: str | Column = "text") -> Column:
 
 def scan_new(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan blobs of `versions` (text) under rules that the ledger (a path) has not seen for them; append the findings, and
-    return the ledger. A blob that many paths share is scanned once; a rule with a new version is run over old blobs alone."""
+    return the ledger. A blob that many paths share is scanned once; a rule with a new version is run over old blobs alone.
+    Each row of the ledger holds what one run found in one blob, under which rules, and how many rows had that blob then."""
     spark = versions.sparkSession
-    blobs = versions.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = versions.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     todo = F.array(*[F.lit(r.key) for r in rules])
     known = read_ledger(spark, ledger)
     if known is None:
@@ -89,8 +79,8 @@ def scan_new(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
         seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))  # as many as rule versions
         pending = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
     text = F.col("text")
-    parts = [F.coalesce(F.when(F.array_contains("todo", r.key), rule_spans(text, r, i)), F.array().cast(SPAN)) for i, r in enumerate(rules)]
-    pending.select("blob", F.col("todo").alias("rules"), F.array_sort(F.concat(*parts)).alias("spans")).write.mode("append").parquet(ledger)
+    parts = [F.when(F.array_contains("todo", r.key), rule_spans(text, r)).otherwise(F.array().cast(KEPT)) for r in rules]
+    pending.select("blob", F.col("todo").alias("rules"), F.array_sort(F.concat(*parts)).alias("spans"), "copies").write.mode("append").parquet(ledger)
     return read_ledger(spark, ledger)
 
 
@@ -102,18 +92,29 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
     return spark.read.schema(ledger_schema()).parquet(ledger)
 
 
+def spans_by_blob(book: DataFrame, rules: tuple[Rule, ...], fresh: bool) -> DataFrame:
+    """blob and spans, as SPAN, of blobs with any span of the rules asked for, at the versions asked for; what the ledger
+    holds of others is left out. kind is the place in `rules`. fresh: the ledger has one row a blob."""
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    if not fresh:
+        book = book.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # as many rows as runs that saw the blob anew
+    mine = F.filter("spans", lambda s: F.array_contains(keys, s["rule"]))
+    placed = F.transform(mine, lambda s: F.struct(s["start"].alias("start"), (F.array_position(keys, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end")))
+    return book.select("blob", F.array_sort(placed).alias("spans")).filter(F.size("spans") > 0)
+
+
 def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """versions (doc_id, text) with the spans of each whole text: doc_id, blob, spans, sorted by start, then kind.
 
-    Offsets are code points, ends exclusive. Null or empty texts have no spans. Equal texts have equal spans, whatever their
-    number; repeated rows stay. An empty table gives no rows. Other columns are ignored. ledger: a path; null starts anew.
+    Offsets are code points, ends exclusive; kind is the place of the rule in `rules`. Null or empty texts have no spans.
+    Equal texts have equal spans, whatever their number; repeated rows stay. A very long text, or one with very many secrets,
+    costs time in proportion. An empty table gives no rows. Other columns are ignored. ledger: a path, which is added to and
+    may hold findings of other rules, other versions of rules and other tables; null starts anew.
     """
-    spark = versions.sparkSession
-    book = scan_new(versions, ledger or new_table_path(spark, "ledger"), rules)
-    if ledger:
-        book = book.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    book = scan_new(versions, ledger or new_table_path(versions.sparkSession, "ledger"), rules)
     paths = staged(versions.select("doc_id", blob_of().alias("blob")), "paths")
-    return skew_join(paths, book.filter(F.size("spans") > 0).select("blob", "spans"), "blob", "left", F.col("doc_id")).withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    out = skew_join(paths, spans_by_blob(book, rules, ledger is None), "blob", "left", F.col("doc_id"))
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -136,19 +137,24 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret replaced by [kind]; overlapping secrets are replaced as one, named after the first. Rows and
-    other columns stay; n_chars, where there is one, is set anew where a text has changed."""
-    book = scan_new(docs, new_table_path(docs.sparkSession, "ledger"), rules).filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    marked = docs.withColumn("_blob", blob_of()).join(book, "_blob", "left")
-    text, names = F.col("text"), F.array(*[F.lit(f"[{r.kind}]") for r in rules])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = marked.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
+    other columns stay; n_chars, where there is one, is set anew where a text has changed. Null texts stay null, repeated rows
+    fare alike, an empty table gives no rows. Blobs with very many copies, of which the empty text may be one, are salted."""
+    book = scan_new(docs, new_table_path(docs.sparkSession, "ledger"), rules)
+    total = book.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = book.filter(is_hot("copies", total)).select(F.col("blob").alias("_blob"))
+    found = spans_by_blob(book, rules, True).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    marked = skew_join(docs.withColumn("_blob", blob_of()), found, "_blob", "left", F.struct(*[F.col(c) for c in docs.columns if c != "text"]), hot=hot)
+    names = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
+
+    def merged(spans: Column) -> Column:
+        """One mark for each stretch of overlapping spans, from the first's start to the last end among them."""
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        opens = F.array_compact(F.zip_with(reach, F.sequence(F.lit(0), F.size(spans) - 1), lambda r, i: F.when((i == 0) | (F.get(spans, i)["start"] >= r), i)))
+        ends = let(opens, lambda h: F.zip_with(h, F.concat(F.slice(h, F.lit(2), F.size(h)), F.array(F.size(spans))), lambda a, b: F.struct(a.alias("a"), F.array_max(F.transform(F.slice(spans, a + 1, b - a), lambda s: s["end"])).alias("end"))))
+        return F.transform(ends, lambda x: F.struct(F.get(spans, x["a"])["start"].alias("start"), x["end"].alias("end"), F.get(names, F.get(spans, x["a"])["kind"]).alias("tag")))
+
+    clean = let(let(F.col("_spans"), merged), lambda marks: splice(F.col("text"), marks))
+    out = marked.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
