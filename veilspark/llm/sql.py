@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from veilspark.llm.licences import CONTAINED, PHRASES, TEMPLATES, template_words
+import re
+
+from veilspark.llm.licences import CONTAINED, PHRASES, TEMPLATES, stride, template_words
 from veilspark.llm.mixing import EPOCHS, WEIGHTS
 from veilspark.llm.secret_scan import BASE, RULES
 
@@ -36,7 +38,7 @@ def secrets_sql() -> str:
 def mix_sql() -> str:
     weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
     return (
-        f"WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents), "
+        f"WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, md5(text), '')) AS h FROM documents), "
         "z AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1), "
         f"r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {weights} END AS w FROM z), "
         f"f AS (SELECT *, source_size * {EPOCHS} AS cap, (source_size * {EPOCHS})::DOUBLE / w AS fills, sum(source_size) OVER () AS total FROM r), "
@@ -52,15 +54,18 @@ def mix_sql() -> str:
 
 
 def license_sql() -> str:
-    """Every place of every phrase, and every line against every template."""
+    """Every place of every phrase, and every block of words against every template that shares a word with it."""
     places = " UNION ALL ".join(f"SELECT row, i - 1 AS place, '{label}' AS label FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i:i + {len(p.split()) - 1}] = [{', '.join(map(quoted, p.split()))}]" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{k}', [{', '.join(map(quoted, ws))}])" for k, ws in template_words(TEMPLATES).items())
+    sizes = {k: len(re.findall(LICENSE_WORDS, v.lower())) for k, v in TEMPLATES.items()}
+    templates = ", ".join(f"('{k}', [{', '.join(map(quoted, ws))}], {sizes[k]}, {stride(sizes[k])})" for k, ws in template_words(TEMPLATES).items())
     low = f"translate(%s, '{UPPER}', '{LOWER}')"
     return (
-        f"WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all({low % 'coalesce(text, %s)' % quoted('')}, '{LICENSE_WORDS}') AS w FROM documents), "
+        f"WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({low % 'coalesce(text, %s)' % quoted('')}, '{LICENSE_WORDS}') AS w FROM documents), "
         f"b AS ({places}), bb AS (SELECT row, count(*) AS n, min(place) AS first, max(place) AS last, list_distinct(list(label)) AS labels FROM b GROUP BY 1), "
-        f"lines AS (SELECT row, list_distinct(regexp_extract_all({low % 'line'}, '{LICENSE_WORDS}')) AS w FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d)), "
-        f"m AS (SELECT row, label, max(len(list_intersect(lines.w, t.w))::DOUBLE / len(t.w)) AS score FROM lines, (VALUES {templates}) AS t(label, w) GROUP BY 1, 2 HAVING max(len(list_intersect(lines.w, t.w))::DOUBLE / len(t.w)) >= {CONTAINED}), "
+        f"t AS (SELECT label, unnest(w) AS word, len(w) AS n, size, step FROM (VALUES {templates}) AS x(label, w, size, step)), "
+        "o AS (SELECT row, i - 1 AS spot, w[i] AS word FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d)), "
+        "h AS (SELECT row, label, n, word, unnest(range(greatest(floor((spot - size - step) / step)::BIGINT + 1, 0), spot // step + 1)) AS block FROM o JOIN t USING (word)), "
+        f"m AS (SELECT row, label, count(DISTINCT word)::DOUBLE / any_value(n) AS score FROM h GROUP BY row, label, block HAVING count(DISTINCT word) >= ceil({CONTAINED} * any_value(n) - 1e-9)), "
         "mm AS (SELECT row, list(label) AS labels, max(score) AS score FROM m GROUP BY 1) "
         "SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word, array_to_string(list_sort(coalesce(bb.labels, [])), ',') AS base_labels, "
         "array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(mm.labels, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score FROM d LEFT JOIN bb USING (row) LEFT JOIN mm USING (row)"
