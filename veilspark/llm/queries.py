@@ -26,11 +26,11 @@ def op3_conflict_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts of all conversations, parsed: conv_id, turn, role, n_lines, text, rendered. The model is fitted on the
-    known roles of at most chat.SAMPLE conversations."""
+    """Transcripts of all conversations, parsed: conv_id, turn, role, first_line, n_lines, raw, text, rendered. The model is
+    fitted on the known roles of at most chat.SAMPLE conversations."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     model = chat.fit(chat.transcribed(chat.sampled(turns)))
-    parsed = chat.canonical(chat.with_roles(chat.transcribed(turns).drop("role"), model))
+    parsed = chat.canonical(staged(chat.with_roles(chat.transcribed(turns).drop("role"), model), "roles"))
     return parsed.withColumnRenamed("conv", "conv_id")
 
 
@@ -47,8 +47,8 @@ def op7_license_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = staged(quality.with_measurements(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "measured")
-    base = [F.col(f"m.{f}") for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    measured = quality.with_measurements(documents(spark, sf_dir), keep=["doc_id"])
+    base = [F.col(f"{quality.MEASURES}.{f}") for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return quality.judged(measured).select("doc_id", *base, "base_failed", "kept", "quality")
 
 
