@@ -12,6 +12,8 @@ from veilspark.llm.common import skew_join, staged
 
 #: Groups that one task differences, about; the number of blocks follows the number of groups.
 GROUPS_A_BLOCK = 20_000
+#: Partial partitions that one task combines; a round of tasks leaves one for each so many blocks.
+BLOCKS_A_TASK = 1_000
 #: Rows that are numbered in one task, about.
 ROWS_A_SLOT_BUCKET = 50_000
 
@@ -50,10 +52,11 @@ def single(size: int, item, shards: int) -> tuple[list[int], list]:
     return [size] + [0] * (shards - 1), [[item]] + [None] * (shards - 1)
 
 
-def group_shards(groups: DataFrame, shards: int, n_groups: int) -> DataFrame:
-    """groups (digest, size) with a shard each. Blocks of groups are differenced in parallel into `shards` partial sums; the
-    driver then differences these partial partitions, one row of `shards` sums a block, never the groups."""
-    blocks = max(1, -(-n_groups // GROUPS_A_BLOCK))
+def group_shards(groups: DataFrame, shards: int, n_groups: int, groups_a_block: int = GROUPS_A_BLOCK, blocks_a_task: int = BLOCKS_A_TASK) -> DataFrame:
+    """groups (digest, size) with a shard each. Blocks of groups are differenced in parallel into `shards` partial sums; these
+    partial partitions are differenced again, blocks_a_task of them in a task, round after round until one is left. The driver
+    holds neither groups nor sums, and a round has a row for each block and shard."""
+    blocks = max(1, -(-n_groups // groups_a_block))
 
     def one_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "digest"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -64,17 +67,32 @@ def group_shards(groups: DataFrame, shards: int, n_groups: int) -> DataFrame:
                 local[i] = part
         return pd.DataFrame({"block": key[0], "digest": pdf["digest"], "size": pdf["size"], "part": local})
 
+    def combined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of the parts of some blocks the part of the combined partition that each goes to."""
+        sums: dict[int, list[int]] = {}
+        for b, p, size in zip(pdf["block"].tolist(), pdf["part"].tolist(), pdf["size"].tolist(), strict=True):
+            sums.setdefault(b, [0] * shards)[p] = size
+        _, parts = differenced([(s, [[(b, i)] for i in range(shards)]) for b, s in sorted(sums.items())])
+        rows = [(key[0], b, i, part) for part, tree in enumerate(parts) for b, i in leaves(tree)]
+        return pd.DataFrame(rows, columns=["into", "block", "part", "onto"])
+
     dealt = groups.select("digest", "size", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int").alias("block"))
     local = staged(dealt.groupBy("block").applyInPandas(one_block, "block int, digest binary, size long, part int"), "parts")
-    sums: dict[int, list[int]] = {}
-    for r in local.groupBy("block", "part").agg(F.sum("size").alias("size")).collect():  # blocks * shards rows
-        sums.setdefault(r["block"], [0] * shards)[r["part"]] = r["size"]
-    place = []
-    if sums:
-        _, parts = differenced([(s, [[(b, i)] for i in range(shards)]) for b, s in sorted(sums.items())])
-        place = [(b, i, shard) for shard, tree in enumerate(parts) for b, i in leaves(tree)]
-    where = groups.sparkSession.createDataFrame(place, "block int, part int, shard int")
-    return local.join(F.broadcast(where), ["block", "part"]).select("digest", "shard")  # as many rows as were collected
+    place = None  # block, part: of the first blocks; now_block, now_part: where they are by now
+    sums = local.groupBy("block", "part").agg(F.sum("size").alias("size"))
+    while blocks > 1:
+        sums = staged(sums, "sums")
+        moves = staged(sums.groupBy(F.floor(F.col("block") / blocks_a_task).cast("int").alias("into")).applyInPandas(combined, "into int, block int, part int, onto int"), "moves")
+        step = moves.select(F.col("block").alias("now_block"), F.col("part").alias("now_part"), "into", "onto")
+        if place is None:
+            place = step.select(F.col("now_block").alias("block"), F.col("now_part").alias("part"), F.col("into").alias("now_block"), F.col("onto").alias("now_part"))
+        else:
+            place = place.join(step, ["now_block", "now_part"]).select("block", "part", F.col("into").alias("now_block"), F.col("onto").alias("now_part"))
+        sums = sums.join(moves, ["block", "part"]).groupBy(F.col("into").alias("block"), F.col("onto").alias("part")).agg(F.sum("size").alias("size"))
+        blocks = -(-blocks // blocks_a_task)
+    if place is None:
+        return local.select("digest", F.col("part").alias("shard"))
+    return local.join(place, ["block", "part"]).select("digest", F.col("now_part").alias("shard"))
 
 
 def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -83,7 +101,7 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     Law `bytes`: rows of equal text are one indivisible group, and shards have nearly equal sums of size, which is the UTF-8
     length of the text plus 1. A null text counts as empty (size 1, CRC 0) and belongs to the group of empty texts. Slots
     number the rows of a shard from 0, in the order of a hash of doc_id. Equal rows get slots of their own. grown_shard is
-    null. An empty table gives no rows. A group larger than a shard's share fills a shard alone as far as others allow.
+    null. doc_id may be of any type and null. An empty table gives no rows. A group larger than a shard's share fills a shard alone as far as others allow.
     """
     text = F.coalesce("text", F.lit(""))
     rows = staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text)).alias("digest")), "rows")
