@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,32 +98,37 @@ def pack_block(sizes: list[int], sources: list, clusters: list, capacity: int) -
 
 
 def pieces_of(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, source, cluster (MD5 of the text), piece, start_word, n_words: texts over the capacity are cut in pieces."""
-    sized = docs.select("doc_id", "source", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("cluster"), words_in(F.col("text")).alias("size"))
+    """doc_id, source (as a string), cluster (MD5 of the text), piece, start_word, n_words: texts over the capacity are cut in pieces."""
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("cluster"), words_in(F.col("text")).alias("size"))
     cuts = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("int")))
     cut = sized.withColumn("piece", cuts).withColumn("start_word", F.col("piece").cast("long") * capacity)
     return cut.select("doc_id", "source", "cluster", "piece", "start_word", F.least(F.col("size") - F.col("start_word"), F.lit(capacity).cast("long")).alias("n_words"))
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, pieces_a_block: int = PIECES_A_BLOCK) -> DataFrame:
     """A row for each piece of each document: bin, bin_offset (words before it in the bin), doc_id, source, piece,
     start_word, n_words.
 
     Sizes are words. No bin exceeds the capacity or holds two pieces of one source or of equal texts. Pieces without words
-    (null or empty texts) take no room: bin null, offset 0. A null source is a source of its own. Equal rows are packed each
-    for itself. Blocks of pieces, dealt by hash with every copy of a row free to go elsewhere, are packed in parallel, so up
-    to a few bins a block stay part empty. An empty table gives no rows.
+    (null or empty texts) take no room: bin null, offset 0. A null source is a source of its own. doc_id may be of any type
+    and null. Equal rows are numbered and packed each for itself. Blocks of pieces, dealt by hash of the piece and that number,
+    are packed in parallel, so up to a few bins a block stay part empty. Ties in size go by doc_id, piece, text and number. An
+    empty table gives no rows. Other columns are ignored.
     """
-    pieces = staged(pieces_of(docs, capacity), "pieces")
-    blocks = max(1, -(-pieces.count() // PIECES_A_BLOCK))
-
-    def one_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
-        sources = [None if pd.isna(s) else s for s in pdf["source"]]
-        spots = pack_block(pdf["n_words"].tolist(), sources, pdf["cluster"].tolist(), capacity)
-        return pdf.assign(bin=[f"{key[0]}-{b}" for b, _ in spots], bin_offset=[o for _, o in spots])[["bin", "bin_offset", "doc_id", "source", "piece", "start_word", "n_words"]]
-
-    schema = "bin string, bin_offset long, doc_id long, source string, piece int, start_word long, n_words long"
-    some = pieces.filter("n_words > 0").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(blocks)).cast("int"))
+    same = ["doc_id", "source", "cluster", "piece", "start_word", "n_words"]
+    pieces = pieces_of(docs, capacity).groupBy(*same).agg(F.count("*").alias("copies"))  # equal rows meet map-side
+    pieces = staged(pieces.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies"), "pieces")
+    blocks = max(1, -(-pieces.count() // pieces_a_block))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def one_block(key: tuple, rows: pa.Table) -> pa.Table:
+        order = [("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending"), ("copy", "ascending"), ("source", "ascending")]
+        rows = rows.sort_by(order)
+        spots = pack_block(rows["n_words"].to_pylist(), rows["source"].to_pylist(), rows["cluster"].to_pylist(), capacity)
+        name = key[0].as_py()
+        return pa.table({"bin": pa.array([f"{name}-{b}" for b, _ in spots], pa.string()), "bin_offset": pa.array([o for _, o in spots], pa.int64())} | {c: rows[c] for c in ("doc_id", "source", "piece", "start_word", "n_words")})
+
+    schema = f"bin string, bin_offset long, doc_id {id_type}, source string, piece int, start_word long, n_words long"
+    some = pieces.filter("n_words > 0").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "copy"), F.lit(blocks)).cast("int"))
     none = pieces.filter("n_words <= 0").select(F.lit(None).cast("string").alias("bin"), F.lit(0).cast("long").alias("bin_offset"), "doc_id", "source", "piece", "start_word", F.lit(0).cast("long").alias("n_words"))
-    return some.groupBy("block").applyInPandas(one_block, schema).union(none)
+    return some.groupBy("block").applyInArrow(one_block, schema).union(none)
