@@ -16,8 +16,11 @@ from veilspark.llm.common import staged
 #: Vectors from which the tree is fitted, at most, and queries on which the number of leaf visits is calibrated, at most.
 SAMPLE, CALIBRATE = 20_000, 128
 BRANCH, LEAF = 8, 128
-#: Rows of neighbouring leaves that one task compares, about; a larger leaf is dealt over several groups.
-GROUP_ROWS = 4_096
+#: Rows of neighbouring leaves that one task compares, about; a larger leaf is dealt over several groups. Queries that meet
+#: them there, at most, about.
+GROUP_ROWS, GROUP_QUERIES = 4_096, 4_096
+#: Queries that one task routes, about.
+ROUTE_ROWS = 512
 RECALL = 0.94
 
 
@@ -83,18 +86,52 @@ def leaf_of(root: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaves_by_nearness(root: Node, q: np.ndarray, visits: int) -> list[int]:
-    """Best bin first: the first `visits` leaves that a priority queue of branches, by distance to their centres, yields."""
-    queue, found, tie = [(0.0, 0, root)], [], 0
-    while queue and len(found) < visits:
-        _, _, node = heapq.heappop(queue)
-        if node.children is None:
-            found.append(node.leaf)
-            continue
-        for d, c in zip(distances(q[None, :], node.centres)[0], node.children, strict=True):
-            tie += 1
-            heapq.heappush(queue, (float(d), tie, c))
-    return found
+class Flat:
+    """The tree as arrays: all centres in one matrix, so the distances of many queries to all of them are one product."""
+
+    def __init__(self, root: Node):
+        self.children: list[list[int]] = []  # rows of centres, by inner node
+        self.leaf: list[int] = []  # by row of centres: the leaf there, or -1
+        self.inner: list[int] = []  # by row of centres: the inner node there, or -1
+        rows, todo = [], [root]
+        number = {id(root): 0}
+        self.only_leaf = root.leaf if root.children is None else -1
+        while todo:
+            node = todo.pop()
+            if node.children is None:
+                continue
+            while len(self.children) <= number[id(node)]:
+                self.children.append([])
+            for centre, child in zip(node.centres, node.children, strict=True):
+                self.children[number[id(node)]].append(len(rows))
+                rows.append(centre)
+                self.leaf.append(child.leaf)
+                self.inner.append(-1)
+                if child.children is not None:
+                    number[id(child)] = len(number)
+                    self.inner[-1] = number[id(child)]
+                    todo.append(child)
+        self.centres = np.array(rows)
+
+    def leaves_by_nearness(self, queries: np.ndarray, visits: int) -> list[list[int]]:
+        """Best bin first, for each query: the first `visits` leaves that a priority queue of branches, by the distance to
+        their centres, yields."""
+        if self.only_leaf >= 0:
+            return [[self.only_leaf]] * len(queries)
+        found = []
+        squares = (queries * queries).sum(1)[:, None] - 2 * queries @ self.centres.T + (self.centres * self.centres).sum(1)[None, :]
+        for d in squares.clip(0).tolist():
+            queue, mine = [(d[r], r) for r in self.children[0]], []
+            heapq.heapify(queue)
+            while queue and len(mine) < visits:
+                _, r = heapq.heappop(queue)
+                if self.inner[r] < 0:
+                    mine.append(self.leaf[r])
+                else:
+                    for c in self.children[self.inner[r]]:
+                        heapq.heappush(queue, (d[c], c))
+            found.append(mine)
+        return found
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -150,25 +187,50 @@ class Index:
             group, filled = (group + parts, 0) if parts > 1 else (group, filled + n)
 
     def search(self, queries: DataFrame, k: int, visits: int) -> DataFrame:
-        """query_id, rank, vec_id, score: the k best of the leaves visited, never the query's own id. queries: vec_id, v."""
-        tree, width, groups, longest = self.tree, self.width, self.groups, self.longest
+        """query_id, rank, vec_id, score: the k best of the leaves visited, never the query's own id. queries: vec_id, v, a
+        written table; of equal rows one is asked.
+
+        Queries are numbered in chunks by the leaf nearest to them, so queries of a chunk visit much the same leaves; a chunk
+        and a group of leaves that any of its queries visits meet in one task, with bounded rows on both sides."""
+        flat, width, groups, longest = Flat(self.tree), self.width, self.groups, self.longest
+        asked = queries.select("vec_id", "v").distinct()
+        n_queries = queries.count()
 
         def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                plans = []
-                for q in scaled(as_matrix(pdf["v"], width), longest):
-                    plan: dict[int, list[int]] = {}
-                    for f in leaves_by_nearness(tree, np.append(q, 0.0), visits):
-                        first, parts = groups.get(f, (0, 0))
-                        for g in range(first, first + parts):
-                            plan.setdefault(g, []).append(f)
-                    plans.append([{"group": g, "leaves": fs} for g, fs in plan.items()])
-                yield pdf.assign(at=plans)
-
-        sent = queries.select("vec_id", "v").distinct().mapInPandas(routed, "vec_id long, v array<double>, at array<struct<group:int,leaves:array<int>>>")
-        sent = sent.select(F.col("vec_id").alias("query_id"), "v", F.explode("at").alias("at")).select("query_id", "v", "at.*")
-        where = queries.sparkSession.createDataFrame([(f, g, n) for f, (g, n) in groups.items()], "leaf int, first int, parts int")
+            for whole in batches:
+                for at in range(0, len(whole), 256):
+                    pdf, plans, homes = whole.iloc[at : at + 256], [], []
+                    q = scaled(as_matrix(pdf["v"], width), longest)
+                    for visited in flat.leaves_by_nearness(np.hstack([q, np.zeros((len(q), 1))]), visits):
+                        plan: dict[int, list[int]] = {}
+                        for f in visited:
+                            first, parts = groups.get(f, (0, 0))
+                            for g in range(first, first + parts):
+                                plan.setdefault(g, []).append(f)
+                        homes.append(visited[0])
+                        plans.append([{"group": g, "leaves": fs} for g, fs in plan.items()])
+                    yield pdf.assign(home=np.array(homes, np.int32), at=plans)
+
+        parts = max(asked.sparkSession.sparkContext.defaultParallelism, -(-n_queries // ROUTE_ROWS))
+        sent = asked.repartition(parts, "vec_id").mapInPandas(routed, "vec_id long, v array<double>, home int, at array<struct<group:int,leaves:array<int>>>")
+        sent = staged(sent, "routes")
+        chunks: list[tuple[int, int, int]] = []  # of a home leaf: the first chunk and how many
+        chunk = filled = 0
+        for r in sent.groupBy("home").count().orderBy("home").collect():  # a row a leaf
+            several = max(1, -(-r["count"] // GROUP_QUERIES))
+            if filled and filled + r["count"] > GROUP_QUERIES:
+                chunk, filled = chunk + 1, 0
+            chunks.append((r["home"], chunk, several))
+            chunk, filled = (chunk + several, 0) if several > 1 else (chunk, filled + r["count"])
+        spark = queries.sparkSession
+        numbered = sent.join(F.broadcast(spark.createDataFrame(chunks, "home int, first int, parts int")), "home")
+        numbered = numbered.withColumn("chunk", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
+        sent = numbered.select(F.col("vec_id").alias("query_id"), "v", "chunk", F.explode("at").alias("at")).select("query_id", "v", "chunk", "at.*")
+        where = spark.createDataFrame([(f, g, n) for f, (g, n) in groups.items()], "leaf int, first int, parts int")
         held = self.rows.join(F.broadcast(where), "leaf").withColumn("group", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")).drop("first", "parts")
+        # Rows of a group go to each chunk that has a query for it: of a search that visits few leaves, few.
+        wanted = sent.select(F.col("group").alias("at_group"), F.col("chunk").alias("to_chunk")).distinct()
+        held = held.join(wanted, F.col("group") == F.col("at_group"))
 
         def compared(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             out: list[list[np.ndarray]] = [[], [], []]
@@ -185,7 +247,7 @@ class Index:
             empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
             return pd.DataFrame({n: np.concatenate([e, *c]) for n, e, c in zip(("query_id", "vec_id", "score"), empty, out, strict=True)})
 
-        best = sent.groupBy("group").cogroup(held.groupBy("group")).applyInPandas(compared, "query_id long, vec_id long, score double")
+        best = sent.groupBy("group", "chunk").cogroup(held.groupBy("at_group", "to_chunk")).applyInPandas(compared, "query_id long, vec_id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -197,12 +259,13 @@ class Index:
         if not total:
             return 1, 1.0
         # The leaf in which each true neighbour lies and the place of that leaf in the query's order give the recall of any number of visits.
-        tree, longest, width, n_leaves = self.tree, self.longest, self.width, self.n_leaves
+        flat, longest, width, n_leaves = Flat(self.tree), self.longest, self.width, self.n_leaves
 
         def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 x = scaled(as_matrix(pdf["v"], width), longest)
-                rows = [(int(i), int(f), n) for i, q in zip(pdf["vec_id"], x, strict=True) for n, f in enumerate(leaves_by_nearness(tree, np.append(q, 0.0), n_leaves), 1)]
+                found = flat.leaves_by_nearness(np.hstack([x, np.zeros((len(x), 1))]), n_leaves)
+                rows = [(int(i), int(f), n) for i, fs in zip(pdf["vec_id"], found, strict=True) for n, f in enumerate(fs, 1)]
                 yield pd.DataFrame(rows, columns=["query_id", "leaf", "place"])
 
         order = some.select("vec_id", "v").mapInPandas(places, "query_id long, leaf int, place int")
@@ -219,12 +282,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     """The k rows of vectors nearest to each query by inner product, found in the leaves that calibration says to visit.
 
     queries has the same columns as vectors. Null, zero, non-finite vectors, those of another length than most and those
-    without an id take no part. Ties go to the smaller vec_id. Repeated rows of vectors may each be found. Empty: no rows.
+    without an id take no part; ids are whole numbers. Ties go to the smaller vec_id. Repeated rows of vectors may each be
+    found; of repeated queries one is asked. Empty: no rows. Other columns are ignored. visits and recall: how many of the
+    leaves each query visits, and the share of true neighbours that those held for the queries of the calibration.
     """
     index = Index(vectors, vec_id, embedding)
     asked = usable(queries, vec_id, embedding).filter(F.size("v") == index.width)
     if not index.count:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, visits int, leaves int, recall double")
     asked = staged(asked, "queries")
-    visits, _ = index.calibrated_visits(asked, k, recall)
-    return index.search(asked, k, visits)
+    visits, reached = index.calibrated_visits(asked, k, recall)
+    told = [F.lit(visits).alias("visits"), F.lit(index.n_leaves).alias("leaves"), F.lit(reached).alias("recall")]
+    return index.search(asked, k, visits).select("*", *told)
