@@ -9,17 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import staged
+from veilspark.llm.common import skew_join, staged
 
 ROLES = ("system", "user", "assistant")
-#: Speaker markers, by role.
-MARKERS = {
-    "system": ("system", "instructions", "context"),
-    "user": ("user", "human", "customer", "question", "q", "me", "prompter"),
-    "assistant": ("assistant", "ai", "bot", "agent", "answer", "a", "model", "response"),
-}
-#: `Name:`, `### Name`, `[Name]`, `**Name:**`, `<Name>` and `Name> ` at the start of a line.
-MARKER = r"(?i)^\s*(?:#{1,4}\s*|\*\*|\[|<\|?)?(" + "|".join(sorted((m for ms in MARKERS.values() for m in ms), key=len, reverse=True)) + r")(?:\s*\d*)?(?::\*\*|\*\*:|\]:?|\|?>|:|(?=\s*$))\s*"
+#: Names in speaker markers, by role. Words that often start a line of content (context, question, answer, me)
+#: are none; single letters count with a colon alone.
+MARKERS = {"system": ("system",), "user": ("user", "human", "customer", "prompter"), "assistant": ("assistant", "ai", "bot", "agent", "model")}
+LETTERS = {"user": "q", "assistant": "a"}
+_NAMES = "|".join(sorted((m for ms in MARKERS.values() for m in ms), key=len, reverse=True))
+#: `Name:`, `### Name`, `[Name]`, `**Name:**`, `<Name>` and `Q:` at the start of a line, with a number after the name or none.
+MARKER = rf"(?i)^\s*(?:#{{1,4}}\s*({_NAMES})(?:\s*\d+)?\s*(?::|$)|\*\*\s*({_NAMES})(?:\s*\d+)?\s*(?::\s*\*\*|\*\*\s*:?)|\[({_NAMES})(?:\s*\d+)?\]:?|<\|?({_NAMES})\|?>:?|({_NAMES})(?:\s*\d+)?\s*:|([qa]):)\s*"
 #: Lines that a block takes through Viterbi on its own; longer transcripts are several blocks.
 BLOCK = 256
 #: Conversations from which the model is fitted, at most.
@@ -31,11 +30,10 @@ N_FEATURES = 6
 
 def marker_role(line: Column) -> Column:
     """Index of the role that a line's speaker marker names, else -1."""
-    name = F.lower(F.regexp_extract(line, MARKER, 1))
-    marked = line.rlike(MARKER)
+    name = F.lower(F.concat(*[F.regexp_extract(line, MARKER, g) for g in range(1, 7)]))
     out = F.lit(-1)
     for i, role in enumerate(ROLES):
-        out = F.when(marked & name.isin(*MARKERS[role]), F.lit(i)).otherwise(out)
+        out = F.when(name.isin(*MARKERS[role], *LETTERS.get(role, "")), F.lit(i)).otherwise(out)
     return out
 
 
@@ -126,12 +124,14 @@ def with_roles(lines: DataFrame, model: Model) -> DataFrame:
     Transcripts of up to BLOCK lines are decoded as they are, many in a group. Longer ones are cut in blocks of BLOCK lines,
     each reduced in parallel to a matrix of best scores; the matrices of a transcript (roles by roles numbers a block) are
     multiplied in order in the (max, plus) sense, which gives each block the scores at its start and the role at its end;
-    then the blocks are decoded in parallel. So no task holds the lines of a long transcript."""
-    size = F.count("*").over(Window.partitionBy("conv"))
+    then the blocks are decoded in parallel. So no task holds the lines of a long transcript; one does hold its matrices, one
+    for BLOCK lines. Equal rows of lines are decoded one after the other. Of equally good paths the one with the earlier
+    roles at its end is taken. No lines give no rows."""
     lines = staged(lines, "lines")
     groups = max(1, -(-lines.count() // GROUP_LINES))
     groups = F.pmod(F.xxhash64("conv", "block"), F.lit(groups)).cast("int")
-    blocked = lines.withColumn("long", size > BLOCK).withColumn("block", F.when(F.col("long"), F.floor(F.col("n") / BLOCK)).otherwise(F.lit(0))).withColumn("at", groups)
+    cut = lines.groupBy("conv").count().filter(F.col("count") > BLOCK).select("conv", F.lit(True).alias("long"))
+    blocked = skew_join(lines, cut, "conv", "left", F.col("n")).withColumn("long", F.coalesce("long", F.lit(False))).withColumn("block", F.when(F.col("long"), F.floor(F.col("n") / BLOCK)).otherwise(F.lit(0))).withColumn("at", groups)
     short, long = blocked.filter("not long"), blocked.filter("long")
     first = start_scores(model)
     out = "conv long, n long, line string, r int"
@@ -179,14 +179,29 @@ def start_scores(model: Model) -> np.ndarray:
 
 
 def canonical(lines: DataFrame) -> DataFrame:
-    """conv, turn, role, n_lines, text, rendered: neighbouring lines of one role make a turn, and so does each new marker.
-    Markers are cut off; rendered is `<|role|>`, the text and `<|end|>`, each on lines of its own."""
-    order = Window.partitionBy("conv").orderBy("n")
-    marked = F.col("line").rlike(MARKER)
-    new = (F.lag("role").over(order).isNull() | (F.lag("role").over(order) != F.col("role")) | marked).cast("int")
-    turns = lines.withColumn("turn", F.sum(new).over(order) - 1).withColumn("said", F.when(marked, F.regexp_replace("line", MARKER, "")).otherwise(F.col("line")))
-    out = turns.groupBy("conv", "turn").agg(F.first("role").alias("role"), F.count("*").alias("n_lines"), F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), "\n")).alias("text"))
-    return out.select("conv", "turn", "role", "n_lines", "text", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")).alias("rendered"))
+    """conv, turn, role, first_line, n_lines, raw, text, rendered of lines (conv, n, line, role; a written table, n from 0
+    without gaps): neighbouring lines of one role make a turn, and so does each confirmed marker.
+
+    A marker is confirmed, and only then cut off, where it names the role that the model gives its line; any other stays as
+    content. raw has the lines as they were, so the raws of a transcript, joined by line breaks, are the transcript. text is
+    raw less confirmed markers, blank lines in front and blanks at the end. rendered is `<|role|>`, the text and `<|end|>`,
+    each on lines of its own. Turns are numbered by blocks of BLOCK lines first and then over the blocks of a transcript."""
+    index = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(ROLES)])
+    rows = lines.select("conv", "n", "line", "role", F.floor(F.col("n") / BLOCK).alias("block"), (marker_role(F.col("line")) == index).alias("marked"))
+    inside = Window.partitionBy("conv", "block").orderBy("n")
+    before = lines.filter(F.pmod("n", F.lit(BLOCK)) == BLOCK - 1).select("conv", (F.floor(F.col("n") / BLOCK) + 1).alias("block"), F.col("role").alias("last"))
+    rows = rows.join(before, ["conv", "block"], "left").withColumn("previous", F.coalesce(F.lag("role").over(inside), "last"))
+    new = (F.col("previous").isNull() | (F.col("previous") != F.col("role")) | F.coalesce("marked", F.lit(False))).cast("int")
+    rows = rows.withColumn("new", new)
+    counts = rows.groupBy("conv", "block").agg(F.sum("new").alias("news"))
+    offsets = counts.select("conv", "block", (F.sum("news").over(Window.partitionBy("conv").orderBy("block")) - F.col("news")).alias("offset"))
+    turns = rows.join(offsets, ["conv", "block"]).withColumn("turn", F.col("offset") + F.sum("new").over(inside) - 1)
+    turns = turns.withColumn("said", F.when(F.col("marked"), F.regexp_replace("line", MARKER, "")).otherwise(F.col("line")))
+    every = F.array_sort(F.collect_list(F.struct("n", "line", "said")))
+    out = turns.groupBy("conv", "turn").agg(F.first("role").alias("role"), F.min("n").alias("first_line"), F.count("*").alias("n_lines"), every.alias("every"))
+    raw, text = F.array_join(F.transform("every", lambda x: x["line"]), "\n"), F.array_join(F.transform("every", lambda x: x["said"]), "\n")
+    out = out.select("conv", "turn", "role", "first_line", "n_lines", raw.alias("raw"), F.regexp_replace(text, r"\A(?:[ \t\r]*\n)+|\s+\z", "").alias("text"))
+    return out.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")))
 
 
 def said(turns: DataFrame) -> DataFrame:
@@ -200,13 +215,21 @@ def said(turns: DataFrame) -> DataFrame:
     return turns.filter("conv_id is not null").withColumn("said", F.concat(F.when(bare, F.lit("")).otherwise(marker), F.coalesce("text", F.lit(""))))
 
 
+#: Turns whose lines are numbered in one task at a time.
+TURNS = 64
+
+
 def transcribed(turns: DataFrame) -> DataFrame:
-    """Lines (conv, n, role, line, x) of the transcripts that turns make, in the order of turn, role and text. The role is
-    the true one, for fitting and for measuring. Lines are numbered by a running sum over turns, not from a gathered text."""
-    rows = said(turns).withColumn("lines", F.split("said", "\n", -1))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "said").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum(F.size("lines")).over(order) - F.size("lines"))
-    lines = rows.select(F.col("conv_id").alias("conv"), "role", "upto", F.posexplode("lines").alias("k", "line"))
+    """Lines (conv, n, role, line, x) of the transcripts that turns make, in the order of turn, role and text, null turns
+    first. The role is the true one, for fitting and for measuring. Lines are numbered over TURNS turns by themselves and
+    then over a conversation. Turns without conv_id belong to no conversation and have no lines; a null text is an empty one,
+    and equal rows are turns one after the other. An empty table gives no rows. Other columns are ignored."""
+    rows = said(turns.select("conv_id", "turn", "role", "text")).withColumn("lines", F.split("said", "\n", -1)).withColumn("part", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(1 << 60))))
+    order = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "said").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.groupBy("conv_id", "part").agg(F.sum(F.size("lines")).alias("size"))
+    offsets = sizes.select("conv_id", "part", (F.sum("size").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("size")).alias("offset"))
+    rows = rows.withColumn("upto", F.sum(F.size("lines")).over(order) - F.size("lines")).join(offsets, ["conv_id", "part"])
+    lines = rows.select(F.col("conv_id").alias("conv"), "role", (F.col("offset") + F.col("upto")).alias("upto"), F.posexplode("lines").alias("k", "line"))
     return lines.select("conv", (F.col("upto") + F.col("k")).cast("long").alias("n"), "role", "line").withColumn("x", features(F.col("line"), F.col("n") == 0))
 
 
@@ -218,4 +241,4 @@ def sampled(turns: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def formatted(transcripts: DataFrame, model: Model) -> DataFrame:
     """Canonical turns of transcripts (conv, text), one row a conv. Null or empty texts have no turns."""
-    return canonical(with_roles(numbered_lines(transcripts), model))
+    return canonical(staged(with_roles(numbered_lines(transcripts), model), "roles"))
