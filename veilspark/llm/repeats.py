@@ -85,7 +85,6 @@ def chunk_batch(text: pa.Array) -> pa.Array:
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """A row for each chunk of each text: doc_id, row (of documents with that id, by text), pos, start, n_bytes, word, digest."""
-    small_batches(docs.sparkSession)
     c = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.explode(F.arrow_udf(chunk_batch, CHUNKS)("text")).alias("c"))
     return c.select("doc_id", "row", "c.*").withColumn("digest", F.struct("h1", "h2")).drop("h1", "h2")
 
@@ -106,7 +105,8 @@ def repeated_passages(docs: DataFrame, least_bytes: int = RUN_BYTES, least_words
     WINDOW + RUN_WORDS - 1 words or more is always found. Null, empty and short texts have no runs. Equal rows each give
     their passages. Repeats of chunks that are frequent everywhere are counted map-side, and rows of hot digests are salted.
     """
-    chunks = staged(chunk_table(docs.select("doc_id", "text")), "chunks")
+    with small_batches(docs.sparkSession):
+        chunks = staged(chunk_table(docs.select("doc_id", "text")), "chunks")
     again = staged(repeated_chunks(chunks), "repeated")
     hit = skew_join(chunks, again, "digest", "inner", F.col("row"))
     here = F.struct("doc_id", "row", "pos")
@@ -123,7 +123,7 @@ def repeated_passages(docs: DataFrame, least_bytes: int = RUN_BYTES, least_words
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with text less every passage that is not at its first place; n_chars, where there is one, is set anew. The first
-    place of every chunk stays whole."""
+        place of every chunk stays whole. Null and short texts stay as they are, and so do all other columns."""
     parts = F.array_sort(F.collect_set(F.struct("start_byte", "end_byte", "is_first")))
     spans = repeated_passages(docs).groupBy("doc_id", "row").agg(parts.alias("_spans"), F.bool_and("is_first").alias("_whole")).filter("not _whole")
 
@@ -140,8 +140,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append(x)
         return pa.array(out, pa.string())
 
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(spans.select(F.col("row").alias("_row"), "_spans"), "_row", "left")
-    out = keyed.withColumn("text", cut("text", "_spans"))
+    # A document is told by its id and a hash of its text, so no hash that two texts share cuts the wrong one.
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_spans")
+    keyed = docs.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    found = keyed.join(spans, (F.col("_hash") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    with small_batches(docs.sparkSession):
+        out = staged(found.withColumn("text", cut("text", "_spans")).select(*docs.columns), "without-repeats")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out
