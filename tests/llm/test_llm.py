@@ -1,3 +1,4 @@
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -69,17 +70,81 @@ def test_quality_measures(spark):
     texts = ["a b c a b c d", "a a a a", "x|y é\n\nx|y é\n z", None, "", " \n", "w " * 200, "  a b"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     for r in quality.with_measurements(df).collect():
-        assert tuple(r["m"])[:5] == brute_quality(r["text"]), r["text"]
+        assert tuple(r["_measures"])[:5] == brute_quality(r["text"]), r["text"]
+    clash = quality.keep_good(df.withColumn("_measures", F.lit(1)).withColumn("kept", F.lit("x")))
+    assert clash.columns == ["doc_id", "text", "_measures", "kept"] and clash.count() == 0
+
+
+def planted_votes(n, seed=1):
+    """Votes of six rules on documents of which a fifth are bad, of two kinds that different rules see."""
+    rng = np.random.default_rng(seed)
+    good, kind = rng.random(n) < 0.8, rng.random(n) < 0.5
+    sees = np.array([[1, 0], [1, 0], [0, 1], [0, 1], [1, 1], [0, 0]])[:, kind.astype(int)].T
+    right = rng.random((n, 6)) < 0.98
+    votes = np.where(good[:, None] | (sees == 0), 1, -1)
+    votes = np.where(right, votes, -votes) * (rng.random((n, 6)) < 0.9)
+    return votes, good
 
 
 def test_votes_tell_planted_classes():
-    rng = np.random.default_rng(1)
-    good = rng.random(20_000) < 0.8
-    right = np.array([0.95, 0.9, 0.85, 0.8])
-    votes = np.where(rng.random((20_000, 4)) < right, np.where(good, 1, -1)[:, None], np.where(good, -1, 1)[:, None]) * (rng.random((20_000, 4)) < 0.7)
-    model = quality.fit_votes(list(Counter(map(tuple, votes.tolist())).items()), belief=0.0)
-    assert np.abs(np.array(model.accuracy) - right).max() < 0.05 and abs(model.prior - 0.8) < 0.05
-    assert quality.fit_votes([]).accuracy == ()
+    votes, good = planted_votes(20_000)
+    model = quality.fit_votes(list(Counter(map(tuple, votes.tolist())).items()))
+    cast = votes != 0
+    rate = lambda c, j: (votes[c & cast[:, j], j] > 0).mean()
+    for j in range(6):
+        assert abs(model.good[j] - rate(good, j)) < 0.03 and abs(model.bad[j] - min(rate(~good, j), rate(good, j))) < 0.08
+    assert abs(model.prior - 0.8) < 0.03
+    score = np.log(model.prior / (1 - model.prior)) + (votes > 0) @ np.log(np.array(model.good) / model.bad) + (votes < 0) @ np.log((1 - np.array(model.good)) / (1 - np.array(model.bad)))
+    assert ((score > 0) == good).mean() > 0.97
+    none = quality.fit_votes([], rules=3)
+    assert none.good == (0.95,) * 3 and none.bad == (0.5,) * 3
+
+
+def brute_votes(m):
+    """The rules in plain Python, from the measures."""
+    w = max(1, m["n_words"])
+    share = lambda k: m[k] / w
+    capitals, lines, variety = m["n_upper"] / max(1, m["n_upper"] + m["n_lower"]), m["n_dup_lines"] / max(1, m["n_lines"]), m["n_distinct"] / max(1, m["n_words"] ** 0.5)
+    mean, ends = share("word_chars"), share("n_ends")
+    rules = [
+        (m["n_words"] < 20, m["n_words"] >= 100), (share("n_repeat_words") > 0.5, share("n_repeat_words") < 0.2), (share("n_symbols") > 0.1, share("n_symbols") < 0.03),
+        (capitals > 0.4, capitals < 0.2), (share("n_shout") > 0.1, m["n_shout"] == 0), (share("n_stop") < 0.03 and m["n_words"] >= 30, share("n_stop") >= 0.08),
+        (ends < 0.01 and m["n_words"] >= 80 or ends > 0.5, 0.02 <= ends <= 0.25), (variety < 3 and m["n_words"] >= 30, variety > 5), (mean < 3 or mean > 12, 3.5 <= mean <= 9), (lines > 0.3 and m["n_lines"] > 3, lines < 0.1),
+    ]
+    return tuple(0 if not m["n_words"] else -1 if bad else int(good) for bad, good in rules)
+
+
+def brute_kept(texts):
+    """Kept or not for each text: base rules, votes, and the posterior of the model fitted on all of them."""
+    measures = [dict(zip(quality.FIELDS, quality.measure(t))) for t in texts]
+    votes = [brute_votes(m) for m in measures]
+    model = quality.fit_votes(list(Counter(votes).items()))
+    out = []
+    for m, v in zip(measures, votes, strict=True):
+        odds = model.prior / (1 - model.prior)
+        for x, g, b in zip(v, model.good, model.bad, strict=True):
+            odds *= 1 if not x else g / b if x > 0 else (1 - g) / (1 - b)
+        failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        out.append((failed, not failed and odds / (1 + odds) >= 0.5))
+    return out
+
+
+def mixed_texts():
+    prose = "The house of the old man stood by the river and it was quiet in the morning. "
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+    clean = [" ".join(f"The {say(3)} of the {say(2)} is {say(2)} and it was {say(3)}." for _ in range(12)) for _ in range(40)]
+    junk = ["# ".join(say(1) + "$$$ %%%" for _ in range(90)) for _ in range(6)] + [say(1) * 3 + " "] * 3 + [(say(4) + "\n") * 30 for _ in range(4)] + [say(120) for _ in range(3)]
+    return [*clean, *junk, prose, None, "", clean[0]]
+
+
+def test_kept_is_that_of_brute_force(spark):
+    texts = mixed_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judged(quality.with_measurements(df)).collect()}
+    expected = brute_kept(texts)
+    assert [got[i] for i in range(len(texts))] == expected and 30 < sum(k for _, k in expected) < 50
+    assert sorted(r["doc_id"] for r in quality.keep_good(df).collect()) == [i for i, (_, k) in enumerate(expected) if k]
 
 
 def brute_secrets(t):
@@ -110,6 +175,35 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert secret_scan.findings(df, path).count() == 3
 
 
+def test_ledger_over_rule_and_table_versions(spark, tmp_path):
+    one = secret_scan.Rule("assign", 1, r"key=([a-z]+)", 1, 3)
+    two = secret_scan.Rule("assign", 2, r"key=([a-z0-9]+)", 1, 3)
+    other = secret_scan.Rule("new", 1, r"[0-9]{4}")
+    df = spark.createDataFrame([(0, "key=abc1 key=ab"), (1, "key=abcd 1234"), (2, None)], "doc_id long, text string")
+    more = df.union(spark.createDataFrame([(3, "key=xyz9"), (4, "key=abc1 key=ab")], df.schema))
+    path = str(tmp_path / "ledger")
+
+    def spans(table, rules):
+        return {r["doc_id"]: [(rules[s["kind"]].key, s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.findings(table, path, rules).collect()}
+
+    def brute(text, rules):
+        return sorted((m.start(), i, r.key, m.end()) for i, r in enumerate(rules) for m in re.finditer(r.pattern, text or "") if len(m[r.group]) >= r.least)
+
+    for table, rules in ((df, (one,)), (df, (other, one)), (more, (two, other)), (more, (one,)), (df, (two,))):
+        texts = {r["doc_id"]: r["text"] for r in table.collect()}
+        assert spans(table, rules) == {d: [(k, a, b) for a, _, k, b in brute(t, rules)] for d, t in texts.items()}
+    ledger = secret_scan.read_ledger(spark, path).collect()
+    pairs = Counter((bytes(r["blob"]), k) for r in ledger for k in r["rules"])
+    assert max(pairs.values()) == 1 and len(pairs) == 4 * 3  # each blob once a rule version
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "é token=abcdef1 x " * 5000
+    df = spark.createDataFrame([(0, text), (1, ""), (2, None)] + [(i, "token: abcdefgh") for i in range(3, 40)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df).collect()}
+    assert out[0] == "é [assign] x " * 5000 and out[1] == "" and out[2] is None and all(out[i] == "[assign]" for i in range(3, 40))
+
+
 def test_nothing_of_a_private_key_stays(spark):
     body = [("MIIEvQ+/Ab9zYxWvUtSr" * 4)[:64]] * 24 + ["Qz7+/Kp="]
     head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
@@ -153,9 +247,19 @@ def test_licenses(spark):
         places = [(i, p) for p in phrases for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         at = [i for i, _ in places]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({phrases[p] for _, p in places})))
-        blocks = [set(re.findall("[a-z0-9]+", b.lower())) for b in (texts[r["doc_id"]] or "").split("\n")]
-        best = {k: max(len(b & set(ws)) / len(ws) for b in blocks) for k, ws in licences.template_words(licences.TEMPLATES).items()}
-        assert (r["matches"] or {}) == {k: v for k, v in best.items() if v >= 0.8}
+        assert (r["matches"] or {}) == brute_licenses(texts[r["doc_id"]])
+
+
+def brute_licenses(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found = {}
+    for k, ws in licences.template_words(licences.TEMPLATES).items():
+        size = len(re.findall("[a-z0-9]+", licences.TEMPLATES[k].lower()))
+        step = licences.stride(size)
+        best = max((len(set(w[i : i + size + step]) & set(ws)) / len(ws) for i in range(0, max(1, len(w)), step)), default=0)
+        if best >= 0.8:
+            found[k] = best
+    return found
 
 
 def test_licenses_wrapped_over_lines(spark):
@@ -170,12 +274,24 @@ def test_licenses_wrapped_over_lines(spark):
     rows = [t for _, t in texts] + [("word " * 3000) + "\n" + texts[0][1] + "\n" + ("of this " * 2000), scattered]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     out = licences.scanned(df).orderBy("doc_id").collect()
-    assert [list(r["matches"] or {}) for r in out] == [[k] for k in [*labels, "mit-grant"]] + [[]]
-    words = licences.template_words(licences.TEMPLATES)
-    for r in out[:4]:
-        (k, score), w = next(iter(r["matches"].items())), re.findall("[a-z0-9]+", rows[r["doc_id"]].lower())
-        size = len(re.findall("[a-z0-9]+", licences.TEMPLATES[k].lower()))
-        assert score == max(len(set(w[i : i + size]) & set(words[k])) for i in range(len(w))) / len(words[k]) and k in r["labels"].split(",")
+    for r in out:
+        assert (r["matches"] or {}) == brute_licenses(rows[r["doc_id"]])
+    for r, k in zip(out, [*labels, "mit-grant"]):
+        assert k in r["matches"] and k in r["labels"].split(",") and r["score"] > 0.8
+    assert out[-1]["matches"] is None
+
+
+def test_whole_licenses(spark):
+    wrap = lambda t, n=9: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    whole = ["mit", "isc", "bsd-2", "zlib", "unlicense", "boost", "apache-header", "gpl-header"]
+    rows = [(i, "some words before\n * " + wrap(licences.TEMPLATES[k]) + "\nand after") for i, k in enumerate(whole)] * 2 + [(99, " ".join(licences.TEMPLATES["mit"].split()[:60]))]
+    out = licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r["doc_id"] == 99:
+            assert "mit" not in r["matches"] and "mit-grant" in r["matches"]
+        else:
+            assert r["matches"][whole[r["doc_id"]]] == 1.0
 
 
 def test_nearest_has_the_recall(spark):
@@ -194,6 +310,15 @@ def test_nearest_has_the_recall(spark):
         s[q] = -np.inf
         hits += len(set(ids) & set(np.lexsort((np.arange(1500), -np.round(s, 9)))[:20].tolist()))
     assert hits >= 0.9 * 20 * len(got)
+    index = nearest.Index(df)
+    asked = nearest.usable(df.filter("vec_id % 50 = 0"), "vec_id", "embedding")
+    exact = defaultdict(list)
+    for r in index.search(asked, 20, index.n_leaves).orderBy("query_id", "rank").collect():
+        exact[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q, rows in exact.items():  # all leaves: the order, ties and scores of brute force
+        s = np.einsum("nd,d->n", x, x[q])
+        order = [i for i in np.lexsort((np.arange(1500), -s)) if i != q][:20]
+        assert rows == [(n, i, s[i]) for n, i in enumerate(order, 1)]
     assert nearest.nearest(df.limit(0), df, 5).count() == 0
 
 
@@ -208,9 +333,26 @@ def test_shards(corpus):
         assert where.setdefault(raw, r["shard"]) == r["shard"]
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sums, group = Counter(), Counter()
+    for r in out:
+        sums[r["shard"]] += r["size"]
+        group[texts[r["doc_id"]] or ""] += r["size"]
+    assert max(sums.values()) - min(sums.values()) <= max(group.values())
     assert sharding.sharded(corpus.limit(0)).count() == 0
 
 
+def test_shards_in_rounds_are_as_even(spark):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 5000, 3000).tolist()
+    groups = spark.createDataFrame([(i.to_bytes(4, "big"), n) for i, n in enumerate(sizes)], "digest binary, size long")
+    out = sharding.group_shards(groups, 5, len(sizes), groups_a_block=40, blocks_a_task=4).collect()  # 75 blocks, four rounds
+    sums = Counter()
+    for r in out:
+        sums[r["shard"]] += sizes[int.from_bytes(r["digest"], "big")]
+    assert len(out) == len(sizes) and len({bytes(r["digest"]) for r in out}) == len(sizes)
+    assert set(sums) == set(range(5)) and max(sums.values()) - min(sums.values()) <= 0.001 * sum(sizes)
+
+
 def test_differencing_is_close():
     sums, parts = sharding.differenced([sharding.single(s, i, 3) for i, s in enumerate([8, 7, 6, 5, 4, 3, 3])])
     assert sorted(sums) == [12, 12, 12] and sorted(i for p in parts for i in sharding.leaves(p)) == list(range(7))
@@ -232,6 +374,22 @@ def test_packing(corpus):
     assert words == expected
 
 
+def test_packing_of_null_ids_repeats_and_copies(spark):
+    big = 9007199254740993
+    rows = [(big, "a b c", "s"), (None, "d e", "s"), (None, "d e", None)] + [(7, "same words here", f"s{i % 3}") for i in range(60)] + [(i, "copy of a text", f"s{i}") for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_words", F.lit("clash"))
+    out = packing.packed(df, 8, pieces_a_block=30).collect()
+    assert Counter((r["doc_id"], r["source"], r["n_words"]) for r in out) == Counter((d, s, len(t.split())) for d, t, s in rows)
+    texts = {(d, s): t for d, t, s in rows}
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["bin"]].append((texts[r["doc_id"], r["source"]], r["source"]))
+    assert all(len({t for t, _ in x}) == len({s for _, s in x}) == len(x) for x in bins.values())
+    assert len({b.split("-")[0] for b in bins}) > 1
+    words = packing.packed(df.withColumn("doc_id", F.col("doc_id").cast("string")), 8)
+    assert words.schema["doc_id"].dataType.simpleString() == "string" and words.count() == len(rows)
+
+
 def test_best_fit_is_tightest():
     rng = np.random.default_rng(4)
     sizes = sorted(rng.integers(1, 50, 400).tolist(), reverse=True)
@@ -287,20 +445,88 @@ def test_one_copy_of_each_passage_stays(spark):
     assert set().union(*words) == {w for t in texts for w in t.split()}
 
 
+def brute_repeats(texts):
+    """Words of each text that lie in a passage of 51 words or more which occurs in another text too."""
+    grams, inside = defaultdict(set), [set() for _ in texts]
+    words = [(t or "").split() for t in texts]
+    for i, w in enumerate(words):
+        for j in range(len(w) - 50):
+            grams[tuple(w[j : j + 51])].add(i)
+    for i, w in enumerate(words):
+        for j in range(len(w) - 50):
+            if len(grams[tuple(w[j : j + 51])]) > 1:
+                inside[i] |= set(range(j, j + 51))
+    return inside
+
+
+def test_passages_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(4000)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    shared = [say(n) for n in (51, 70, 200, 400)]
+    texts = [say(30) + " " + shared[i % 4] + " " + say(40) for i in range(24)] + [say(300) for _ in range(6)] + [None, "", shared[3]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string").withColumn("row", F.lit(0))
+    got = defaultdict(set)
+    rows = repeats.repeated_passages(df).collect()
+    for r in rows:
+        before = len(texts[r["doc_id"]].encode()[: r["start_byte"]].split())
+        got[r["doc_id"]] |= set(range(before, before + r["n_words"]))
+    for i, (t, inside) in enumerate(zip(texts, brute_repeats(texts), strict=True)):
+        if i == 0:  # a repeated row: the whole text occurs elsewhere
+            assert len(got[0]) >= len(t.split()) - 2 * repeats.WINDOW
+        else:  # all of a passage but up to WINDOW - 1 words at its ends, and nothing else
+            assert got[i] <= inside and len(inside) - len(got[i]) <= 2 * (repeats.WINDOW - 1)
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(11)
+    log = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1]))
+    for n in range(1, 7):
+        model = chat.Model(log(3), log(3, 3), tuple(log(3, w) for w in chat.WIDTHS))
+        rows = np.stack([rng.integers(0, w, n) for w in chat.WIDTHS], axis=1)
+        first, e = chat.start_scores(model), model.scores(rows)
+        score = lambda p: max(first[r] + model.step[r, p[0]] for r in range(3)) + sum(e[i, p[i]] for i in range(n)) + sum(model.step[p[i - 1], p[i]] for i in range(1, n))  # noqa: B023, E731
+        best = max(itertools.product(range(3), repeat=n), key=score)
+        path = chat.viterbi(model, rows, first, -1)
+        assert abs(score(tuple(path)) - score(best)) < 1e-9 and tuple(path) == best
+        whole = (first[:, None] + chat.forward(model, rows)).max(0)
+        assert abs(whole.max() - score(best)) < 1e-9
+
+
 def test_chat(spark):
     turns = [(c, t, ("user", "assistant")[t % 2], ("What is it about then?" if t % 2 == 0 else "It is a long answer that goes on and on about the matter at hand.")) for c in range(40) for t in range(6)]
-    turns += [(99, t, ("user", "assistant")[t % 2], f"line {t}\n- more") for t in range(400)] + [(None, 0, "user", "x"), (100, 0, "user", None)]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    turns += [(99, t, ("user", "assistant")[t % 2], f"line {t}\n- more") for t in range(400)] + [(None, 0, "user", "x"), (100, 0, "user", None), (101, 0, None, "who"), (102, 1, "user", "twice"), (102, 1, "user", "twice"), (103, None, "user", "no turn")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("line", F.lit("clash"))
     lines = chat.transcribed(df)
     model = chat.fit(chat.transcribed(chat.sampled(df.filter("conv_id < 20"))))
     roles = chat.with_roles(lines.drop("role"), model)
     both = roles.withColumnRenamed("role", "found").join(lines, ["conv", "n"])
-    assert both.filter("conv between 20 and 39").agg(F.avg((F.col("found") == F.col("role")).cast("int"))).first()[0] > 0.9
+    assert both.filter("conv between 20 and 39").agg(F.avg((F.col("found") == F.col("role")).cast("int"))).first()[0] > 0.9  # conversations left out
     rows = np.array([r["x"] for r in lines.filter("conv = 99").orderBy("n").collect()])
     names = [chat.ROLES[i] for i in chat.viterbi(model, rows, chat.start_scores(model), -1)]
     assert [r["role"] for r in roles.filter("conv = 99").orderBy("n").collect()] == names  # blocks change nothing
-    rendered = chat.canonical(roles).filter("conv = 21").orderBy("turn").first()["rendered"]
+    parsed = chat.canonical(roles).orderBy("conv", "turn").collect()
+    rendered = next(r for r in parsed if r["conv"] == 21)["rendered"]
     assert rendered.startswith("<|user|>\nWhat is it") and rendered.endswith("\n<|end|>")
+    said = defaultdict(list)
+    for r in lines.orderBy("conv", "n").collect():
+        said[r["conv"]].append(r["line"])
+    raw, firsts = defaultdict(list), defaultdict(list)
+    for r in parsed:
+        raw[r["conv"]].append(r["raw"])
+        firsts[r["conv"]].append((r["turn"], r["first_line"], r["n_lines"]))
+    assert {c: "\n".join(x) for c, x in raw.items()} == {c: "\n".join(x) for c, x in said.items()}  # nothing is lost
+    for x in firsts.values():
+        assert [t for t, _, _ in x] == list(range(len(x))) and all(a[1] + a[2] == b[1] for a, b in itertools.pairwise(x))
+    empty = spark.createDataFrame([], df.schema)
+    assert chat.canonical(chat.with_roles(chat.transcribed(empty).drop("role"), chat.fit(chat.transcribed(empty)))).count() == 0
+
+
+def test_what_looks_like_a_marker_stays_as_content(spark):
+    lines = ["User: first", "me", "A", "Context: the book says so", "Question: why not", "bot", "Assistant: well", "User: is a word in the answer"]
+    rows = [(0, n, x, role) for n, (x, role) in enumerate(zip(lines, ["user"] * 6 + ["assistant"] * 2, strict=True))]
+    out = chat.canonical(spark.createDataFrame(rows, "conv long, n long, line string, role string")).orderBy("turn").collect()
+    assert [r["text"] for r in out] == ["first\nme\nA\nContext: the book says so\nQuestion: why not\nbot", "well\nUser: is a word in the answer"]
 
 
 def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
