@@ -26,5 +26,20 @@ TOO_COMMON = tuple("account address amount balance code date description documen
 STREET_SUFFIXES = tuple("ST STREET DR DRIVE RD ROAD LN LANE CT COURT AVE AVENUE BLVD BOULEVARD WAY PL PLACE TER TERRACE TRL PKWY PARKWAY CIR CIRCLE HWY HIGHWAY RIDGE GLEN RUN ARCADE PLAZA SQUARE QUAY WALK ROW".split())
 US_STATES = tuple("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC PR".split())
 TOLL_FREE = ("800", "833", "844", "855", "866", "877", "888")
+#: Labels that prove a name to be the patient's, and of organizations and their addresses, where professionals are kept.
+PATIENT_LABELS = ("patient name", "pat name", "patient's name", "guarantor", "insured's name", "insureds name", "subscriber name", "bill to", "responsible party")
+FACILITY_LABELS = ("medical center", "hospital", "clinic", "insurance", "health plan", "healthcare", "health system", "laboratory", "pharmacy", "payer", "street", "avenue", "ave", "blvd", "road", "drive", "suite")
+#: Entities of which a value beside a professional's label is kept, where professionals are kept.
+PROVIDER_SUPPRESSIBLE = ("PERSON", "PHONE_NUMBER", "US_BANK_NUMBER", "US_ITIN", "US_PASSPORT", "MEDICAL_LICENSE", "US_DRIVER_LICENSE", "IBAN_CODE")
+#: Entities whose values are too generic to look for elsewhere.
+NOT_PROPAGATED = ("DATE", "AGE", "LOCATION", "FACE", "SIGNATURE")
 #: Free text types to entities, for fields that a model or a form names.
-ALIASES = {"name": "PERSON", "person": "PERSON", "customer name": "PERSON", "employee name": "PERSON", "patient name": "PERSON", "address": "LOCATION", "postal code": "LOCATION", "zip": "LOCATION", "city": "LOCATION", "location": "LOCATION", "phone": "PHONE_NUMBER", "telephone": "PHONE_NUMBER", "email": "EMAIL_ADDRESS", "ssn": "US_SSN", "date": "DATE", "birth date": "DATE", "age": "AGE", "account number": "ACCOUNT_NUMBER", "mrn": "MEDICAL_RECORD_NUMBER", "member id": "HEALTH_PLAN_ID", "claim number": "CLAIM_NUMBER", "employee id": "GENERIC_ID", "customer id": "GENERIC_ID", "case id": "GENERIC_ID", "id": "GENERIC_ID", "organization": "ORGANIZATION", "ip": "IP_ADDRESS", "url": "URL", "card": "CREDIT_CARD", "iban": "IBAN_CODE"}
+ALIASES = {
+    "date": "DATE", "date of birth": "DATE", "dob": "DATE", "birthdate": "DATE",
+    "person": "PERSON", "name": "PERSON", "full name": "PERSON", "employee name": "PERSON", "customer name": "PERSON",
+    "address": "LOCATION", "city": "LOCATION", "state": "LOCATION", "zip": "LOCATION", "zip code": "LOCATION", "postal code": "LOCATION", "location": "LOCATION",
+    "ssn": "US_SSN", "social security number": "US_SSN", "phone": "PHONE_NUMBER", "phone number": "PHONE_NUMBER", "telephone": "PHONE_NUMBER", "fax": "PHONE_NUMBER",
+    "email": "EMAIL_ADDRESS", "email address": "EMAIL_ADDRESS",
+    "record id": "GENERIC_ID", "record number": "GENERIC_ID", "employee id": "GENERIC_ID", "customer id": "GENERIC_ID", "user id": "GENERIC_ID", "reference id": "GENERIC_ID", "identifier": "GENERIC_ID", "identification": "GENERIC_ID", "id number": "GENERIC_ID",
+    "account": "ACCOUNT_NUMBER", "account number": "ACCOUNT_NUMBER",
+}

@@ -9,7 +9,7 @@ from veilspark.functions.labels import ALIASES, SHORT_NAMES, TOLL_FREE
 
 #: Characters that a value loses at its ends before it is compared.
 EDGES = " \t\r\n.,;:#()[]{}/\\'\"<>|*"
-TOKEN_EDGES = "()[]{}<>\"'.,;:#‘’“”*~^°_-"
+TOKEN_EDGES = " \t.,;:()[]{}#<>|'\"/\\“”‘’«»*~^°_-"
 #: OCR confusions folded to digits, position by position.
 CONFUSED, DIGITS = "OoIiLlSsBbZzGg", "00111155882266"
 
@@ -44,16 +44,25 @@ def short_name(entity: Column) -> Column:
     return out
 
 
-def tag(entity: Column, index: Column) -> Column:
-    return F.concat(F.lit("<"), short_name(entity), F.lit("#"), index.cast("string"), F.lit(">"))
+def tag(entity: Column, index: Column, template: str = "<{entity}#{index}>", short: bool = True) -> Column:
+    """template with {entity}, by its short name or not, and {index} put in."""
+    named = F.replace(F.lit(template), F.lit("{entity}"), short_name(entity) if short else entity)
+    return F.replace(named, F.lit("{index}"), index.cast("string"))
 
 
 def canonical_type(name: Column) -> Column:
-    """The entity that a free-text type means, else null."""
-    key, out = F.lower(F.trim(F.regexp_replace(name, r"[\s_-]+", " "))), F.lit(None).cast("string")
-    for k, v in ALIASES.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
+    """The entity that a free-text type means, else null: a name of an entity that ALIASES has, or an alias. Whatever is no
+    letter or apostrophe separates words."""
+    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z' ]", " "), " +", " "))
+    named = F.replace(F.upper(key), F.lit(" "), F.lit("_"))
+    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    return F.when(named.isin(*sorted(set(ALIASES.values()))), named).otherwise(F.element_at(table, key))
+
+
+def token_key(token: Column) -> Column:
+    """normalize of a token, which has no blanks: its edges stripped and separators inside turned to single blanks."""
+    spaced = F.translate(token, ",;|", "   ")
+    return F.when(spaced.contains(" "), normalize(token)).otherwise(F.replace(F.lower(F.btrim(spaced, F.lit(EDGES))), F.lit("ß"), F.lit("ss")))
 
 
 def money_shaped(value: Column) -> Column:

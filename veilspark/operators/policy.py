@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from veilspark.functions.labels import CONTEXT_ENTITIES, PATTERN_ENTITIES
+from veilspark.functions.text import EDGES
 
 
 @dataclass(frozen=True)
@@ -14,6 +16,19 @@ class Policy:
     mask_providers: bool = True
     min_score: float = 0.4
     allowlist: tuple[str, ...] = ()
+    #: How a tag is written, and whether entities have their short names in it.
+    tag_template: str = "<{entity}#{index}>"
+    short_names: bool = True
+
+    @property
+    def allowed(self) -> tuple[str, ...]:
+        """The allowlist as values are compared: normalized phrases."""
+        return tuple(sorted({k for a in self.allowlist if (k := normalized(a))}))
+
+
+def normalized(value: str) -> str:
+    """What functions.text.normalize gives for a value."""
+    return " ".join(re.sub(r"[,;|]+", " ", value).split()).strip(EDGES).casefold()
 
 
 PROFILES = {

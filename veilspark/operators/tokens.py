@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions.spans import added, let, match_places, running
+
 TOKEN = r"(?U)\S+"
 
 
@@ -14,14 +16,20 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
 
+def token_array(text: Column) -> Column:
+    """Array of (start, g0) of the tokens of a text, g0 being the token."""
+    return match_places(text, TOKEN)
+
+
 def flat_tokens(units: DataFrame) -> DataFrame:
-    """unit, tok, line, start, end, text of each token of units (unit, text): runs without blanks, lines counted by \\n."""
-    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("t"), F.split("text", TOKEN, -1).alias("gap"))
+    """unit, tok, line, start, end, text of each token of units (unit, text): runs without blanks, lines counted by line feeds.
+    Offsets are found in the row, so nothing is shuffled."""
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    gaps = F.transform(F.split("text", TOKEN, -1), breaks)
+    lines = let(gaps, lambda g: F.zip_with(g, running(g, added), lambda own, before: (own + before).cast("int")))
+    found = F.arrays_zip(token_array(F.col("text")).alias("t"), lines.alias("line"))
     rows = units.select("unit", F.posexplode(found).alias("tok", "x")).filter("x.t is not null")
-    order = Window.partitionBy("unit").orderBy("tok").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("x.gap") + F.length("x.t")).over(order)
-    line = F.sum(F.length("x.gap") - F.length(F.replace(F.col("x.gap"), F.lit("\n"), F.lit("")))).over(order)
-    return rows.select("unit", "tok", line.cast("int").alias("line"), (end - F.length("x.t")).cast("int").alias("start"), end.cast("int").alias("end"), F.col("x.t").alias("text"))
+    return rows.select("unit", "tok", F.col("x.line").alias("line"), F.col("x.t.start").alias("start"), (F.col("x.t.start") + F.length("x.t.g0")).alias("end"), F.col("x.t.g0").alias("text"))
 
 
 def joined(tokens: DataFrame, sep: str = " ") -> DataFrame:

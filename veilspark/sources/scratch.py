@@ -6,26 +6,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where the cluster names no shared folder (tests on one machine).
+#: Where a local master (tests on one machine) names no shared folder.
 LOCAL = "/tmp/checkpoints/veilspark"
-#: Bytes up to which a table is dealt over the cores before work that is heavy on a row.
-SMALL = 1 << 30
+_PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local master gets a local one; a cluster, whose nodes
+    would not see each other's, is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        root = LOCAL
+    return root.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df from a Parquet table in the shared folder. Plans that read it several times don't compute it again."""
     path = f"{shared_dir(df.sparkSession)}/masking/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process has written so, and return how many. For the end of a job: what was returned before
+    can't be read any more, unless it was saved."""
+    n = len(_PATHS)
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df over all cores by key if its files are at most SMALL bytes, which may be few row groups and so few tasks; a larger
-    table is read as it lies, without a shuffle. The rows are the same."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SMALL else df
+    """df over all cores by key where the table lies in fewer parts than there are cores, which would leave some idle in work
+    that is heavy on a row; any other table is read as it lies, without a shuffle. The rows are the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
