@@ -6,11 +6,13 @@ import csv
 import io
 from collections.abc import Callable, Iterator
 from functools import partial
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.operators.verify import MaskingError
 from veilspark.sources.office import PLACES, office_units
 
 #: A unit is the place-th of its file.
@@ -39,18 +41,32 @@ def csv_cells(name: str, content: bytes) -> Iterator[tuple]:
             place += 1
 
 
-READERS = {".csv": csv_cells} | {suffix: partial(office_units, suffix) for suffix in PLACES}
+def text_cells(name: str, content: bytes) -> Iterator[tuple]:
+    """A text file as its only unit."""
+    yield name, "text", 0, 0, "", content.decode("utf-8", "replace"), 0
 
 
-def file_units(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """Units of files by suffix: .txt, .csv, .docx or .xlsx; another suffix is a ValueError."""
-    if suffix == ".txt":
-        return text_units(spark, path)
+READERS = {".txt": text_cells, ".csv": csv_cells} | {suffix: partial(office_units, suffix) for suffix in PLACES}
+
+
+def suffix_of(name: str) -> str:
+    """The suffix of a file's name, in lower case; MaskingError if files of that kind can't be masked."""
+    suffix = PurePosixPath(name).suffix.lower()
     if suffix not in READERS:
-        raise ValueError(f"unsupported file type {suffix!r}")
-    reader = READERS[suffix]
+        raise MaskingError(f"unsupported file type: {suffix or 'none'}")
+    return suffix
+
 
-    return units_in(spark.read.format("binaryFile").load(path), reader)
+def any_units(name: str, content: bytes) -> Iterator[tuple]:
+    """Units of a file by the reader for its suffix."""
+    return READERS[suffix_of(name)](name, content)
+
+
+def file_units(spark: SparkSession, path: str | list[str], suffix: str | None = None) -> DataFrame:
+    """Units of files: .txt, .csv, .docx or .xlsx, each by its suffix, or all by the one given; another is an error."""
+    if suffix is not None and suffix not in READERS:
+        raise ValueError(f"unsupported file type {suffix!r}")
+    return units_in(spark.read.format("binaryFile").load(path), READERS[suffix] if suffix else any_units)
 
 
 def units_in(files: DataFrame, reader: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
