@@ -2,7 +2,7 @@ import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pytest
@@ -540,6 +540,75 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     assert 50 not in {r["doc_id"] for r in out.collect()}
 
 
+def brute_mix(rows):
+    """How often the mix takes each of rows (doc_id, text, source), by one queue in plain Python."""
+    sizes = [len(WORD.findall(t)) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total = {s: sum(n for n, (_, _, x) in zip(sizes, rows, strict=True) if x == s) for s in names}
+    left, open_, target = sum(sizes), set(names), {}
+    while open_:  # targets above three times a source stop there, the rest is shared again
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = [s for s in open_ if share[s] > 3 * total[s]]
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = 3 * total[s]
+            left -= target[s]
+            open_.remove(s)
+    queue = []
+    for s in names:
+        upto = 0
+        for h, d, n, i in sorted((md5(str(d).encode()).hexdigest(), d, n, i) for i, (n, (d, _, x)) in enumerate(zip(sizes, rows, strict=True)) if x == s and n):
+            upto += n
+            queue += [((upto + e * total[s]) / target[s], s is None, s or "", h, d, n, upto, i) for e in range(3)]
+    taken, used = Counter(), 0
+    for *_, n, _, i in sorted(queue):
+        used += n
+        if used > sum(sizes):
+            break
+        taken[i] += 1
+    return taken
+
+
+def test_pipeline_is_that_of_brute_force(spark, tmp_path):
+    texts = [t for t in mixed_texts() if t]
+    for i in (1, 4, 9):
+        w = texts[i].split()
+        texts.append(" ".join([*w[:-1], "changed."]))
+    texts[2] += " password: abc12345 and eyJabcdefghij.abcdefghij.abcdefghijk"
+    rows = [(i, t, "en", ["s2", "s1", None, "s3"][i % 4], len(t)) for i, t in enumerate(texts)] + [(900, None, None, None, None), (901, "", "en", "s1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [(d, t, s) for (d, t, _, s, _), (_, k) in zip(rows, brute_kept([t for _, t, *_ in rows]), strict=True) if k]
+    firsts = {k[0] for k in brute_components([(d, t) for d, t, _ in kept], 5) if k[3]}
+    clean = []
+    for d, t, s in kept:
+        if d in firsts:
+            for a, k, b in sorted([*brute_secrets(t), *((m.start(), 3, m.end()) for m in re.finditer(secret_scan.ADDED[0].pattern, t))], reverse=True):
+                t = t[:a] + f"[{secret_scan.RULES[k].kind}]" + t[b:]
+            clean.append((d, t, s))
+    taken = brute_mix(clean)
+    expected = Counter({(d, s, 0, 0, len(WORD.findall(t))): taken[i] for i, (d, t, s) in enumerate(clean) if taken[i]})
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(firsts) > 30 and any("[assign] and [jwt]" in t for _, t, _ in clean)
+    assert Counter((r["doc_id"], r["source"], r["piece"], r["start_word"], r["n_words"]) for r in out) == expected
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["bin"]].append(r)
+    for x in bins.values():
+        assert sum(r["n_words"] for r in x) <= packing.CAPACITY and len({r["source"] for r in x}) == len(x) == len({r["doc_id"] for r in x})
+        at = sorted((r["bin_offset"], r["n_words"]) for r in x)
+        assert all(o + n == p for (o, n), (p, _) in itertools.pairwise(at)) and at[0][0] == 0
+
+
+def test_pipeline_of_an_empty_table_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _measures int, size int, bin string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("op", [near_dedup.near_duplicates, secret_scan.findings, mixing.mixed, licences.scanned, packing.packed, repeats.repeated_passages, quality.keep_good, mixing.mixture, near_dedup.drop_near_duplicates])
 def test_empty_tables(corpus, op):
     assert op(corpus.limit(0)).count() == 0
