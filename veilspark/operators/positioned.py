@@ -16,6 +16,7 @@ from veilspark.operators.context import Adjacency, neighbours
 from veilspark.operators.detect import AGE, AGE_LABEL, CANDIDATE, MAX_AGE, OCR_NOISE
 from veilspark.operators.geometry import SIDES, area, common_area
 from veilspark.operators.policy import Policy
+from veilspark.operators.tokens import token_array
 
 #: What counts as money, and as an identifier on a barcode; labels of signatures.
 MONEY = r"^\$?\d{1,3}(?:,\d{3})+(?:\.\d{2})?$|^\$?\d+\.\d{2}$"
@@ -182,15 +183,13 @@ def loop_engine_name(primary: str, installed: set[str], asked: str = "auto") ->
 def words_of_lines(lines: DataFrame) -> DataFrame:
     """lines (unit, page, line, text, a box) as words with boxes that share the width out by characters and meet half way, so
     that they tile the line."""
-    words = F.filter(F.arrays_zip(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)).alias("w"), F.split("text", r"(?U)\S+", -1).alias("gap")), lambda x: x["w"].isNotNull())
-    ends = F.transform(words, lambda x, i: F.aggregate(F.slice(words, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y["gap"]) + F.length(y["w"])))
     at = lambda n: F.col("x0") + (F.col("x1") - F.col("x0")) * n / F.length("text")
-    rows = lines.select("*", F.posexplode(F.arrays_zip(words.alias("x"), ends.alias("end"))).alias("nth", "w"))
-    rows = rows.withColumn("left", at(F.col("w.end") - F.length("w.x.w"))).withColumn("right", at(F.col("w.end")))
+    rows = lines.select("*", F.posexplode(token_array(F.col("text"))).alias("nth", "w"))
+    rows = rows.withColumn("left", at(F.col("w.start"))).withColumn("right", at(F.col("w.start") + F.length("w.g0")))
     order = Window.partitionBy("unit", "page", "line").orderBy("nth")
     low = F.coalesce((F.lag("right").over(order) + F.col("left")) / 2, F.col("x0"))
     high = F.coalesce((F.col("right") + F.lead("left").over(order)) / 2, F.col("x1"))
-    return rows.select("unit", "page", "line", "nth", F.col("w.x.w").alias("text"), low.alias("x0"), "y0", high.alias("x1"), "y1")
+    return rows.select("unit", "page", "line", "nth", F.col("w.g0").alias("text"), low.alias("x0"), "y0", high.alias("x1"), "y1")
 
 
 def without_repeats(tokens: DataFrame, limit: float = 0.3) -> DataFrame:
