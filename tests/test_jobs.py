@@ -4,12 +4,14 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.cli import main
 from veilspark.functions import text as X
 from veilspark.functions.spans import SPANS, merge_spans, pattern_spans, splice
+from veilspark.operators import ink
 from veilspark.operators.detect import detect
 from veilspark.operators.fields import fields_of, grounded, model_spec, with_fields
 from veilspark.operators.geometry import identity_scores, scores
@@ -176,6 +178,25 @@ def test_positioned_tables(spark):
     assert signature_regions(t.withColumn("text", F.when(F.col("tok") == 0, "Signed:").otherwise(F.col("text")))).count() == 1
 
 
+def test_ink():
+    grey = np.full((10, 40), 255, np.uint8)
+    grey[2:8, 2:10], grey[2:8, 11:14], grey[1:9, 20:36] = 0, 0, 0
+    assert ink.ink_runs(grey) == [(2, 14), (20, 36)]
+    assert ink.words_by_ink("ab cd", grey) == [("ab", (0.05, 0.2, 0.35, 0.8)), ("cd", (0.5, 0.1, 0.9, 0.9))]
+    assert [w for w, _ in ink.words_by_ink("abcdefg", grey)] == ["abc", "defg"] and ink.words_by_ink("a b c", grey) is None
+    whole = (0.0, 0.0, 1.0, 1.0)
+    assert abs(ink.ink_share(grey, whole) - (66 + 128) / 400) < 1e-9
+    assert abs(ink.unread_share(grey, [("word", (0.5, 0.0, 1.0, 1.0), 0.9), ("x7", (0.0, 0.0, 0.5, 1.0), 0.9)], whole) - 66 / 400) < 1e-9
+    assert ink.signed(grey, [], [whole, (0.0, 0.0, 0.04, 1.0)]) == [whole]
+
+
+def test_own_detector(spark):
+    units = spark.createDataFrame([(0, "find ABC here", "")], UNITS)
+    own = lambda df: df.withColumn("spans", pattern_spans(F.col("text"), "ABC", "GENERIC_ID", 0.9, "custom", 1))
+    assert mask(units, detector=own).first()["masked"] == "find <ID#0> here"
+    assert mask(units, policy(tag_template="[{entity}-{index}]", short_names=False), detector=own).first()["masked"] == "find [GENERIC_ID-0] here"
+
+
 def test_scores(spark):
     schema = "unit long, page int, box int, x0 double, y0 double, x1 double, y1 double, entity string"
     truth = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 0.2, 0.1, "PERSON"), (0, 0, 1, 0.5, 0.5, 0.7, 0.6, "FACE"), (1, 0, 0, 0.0, 0.0, 0.1, 0.1, "AGE")], schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,16 @@ def findings_of(detected: DataFrame) -> DataFrame:
     return each_span(detected, "spans", "unit").select("unit", ordered().alias("ord"), "s.*")
 
 
-def job_findings(units: DataFrame, chosen: Policy | None = None, propagate: str | None = None) -> DataFrame:
+#: A detector of one's own: units (unit, text, hint, ...) to the same with spans, as functions.spans.SPANS.
+Detector = Callable[[DataFrame], DataFrame]
+
+
+def job_findings(units: DataFrame, chosen: Policy | None = None, propagate: str | None = None, detector: Detector | None = None) -> DataFrame:
     """Findings of a job, written: row, unit, ord and the span's fields. Equal rows of units have theirs once.
 
     propagate: null leaves each row to itself; "job" also finds every occurrence of values that any row proves; "seen" only of
     values that rows of the same or an earlier unit prove. Where professionals are kept, names and identifiers that were seen
-    under a professional's label, in the same or an earlier unit, are dropped.
+    under a professional's label, in the same or an earlier unit, are dropped. detector takes the place of the detectors here.
 
     Texts are read once by the detectors and, with propagate, once more as tokens; what is joined and merged between are the
     findings, which are far smaller."""
@@ -47,7 +53,8 @@ def job_findings(units: DataFrame, chosen: Policy | None = None, propagate: str
     # The tokens before a finding tell whether its label is a patient's; they are looked up only where that counts.
     before = [F.lit("").alias("before")] if not keep_professionals else [tail(F.coalesce("text", F.lit("")), F.col("s.start")).alias("before")]
     spans = raw_spans_of(chosen) if keep_professionals else spans_of(chosen)
-    seen = each_span(keyed.withColumn("_spans", spans), "_spans", "row", "unit", *(["text"] if keep_professionals else []))
+    detected = keyed.withColumn("_spans", spans) if detector is None else detector(keyed).withColumnRenamed("spans", "_spans")
+    seen = each_span(detected, "_spans", "row", "unit", *(["text"] if keep_professionals else []))
     found = written(seen.select("row", "unit", "s", *before).dropDuplicates(["row", "s"]), "observed")
     if keep_professionals:
         providers = written(provider_keys(found), "providers")
@@ -68,14 +75,14 @@ def merged_by_row(found: DataFrame) -> DataFrame:
     return found.join(chosen.select("row", F.explode("chosen").alias("s")), ["row", "s"], "left_semi")
 
 
-def marked(units: DataFrame, chosen: Policy | None = None, propagate: str | None = None) -> tuple[DataFrame, DataFrame]:
+def marked(units: DataFrame, chosen: Policy | None = None, propagate: str | None = None, detector: Detector | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings (row, unit, ord, the span's fields, tag) and units with marks (start, end, tag in order; null for none).
 
     Findings are written first, as the numbering reads them several times. Tags are numbered in the order of units; a key of
     unit, hint and text brings them back, so units without a number and units that repeat one, with the same text or
     another, each get their own marks."""
     chosen = chosen or policy()
-    found = job_findings(units, chosen, propagate)
+    found = job_findings(units, chosen, propagate, detector)
     tags = registry(found, chosen.tag_template, chosen.short_names).select("entity", "norm", "tag")
     tagged = found.withColumn("norm", normalize(F.col("text"))).join(tags, ["entity", "norm"])
     marks = tagged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("marks"))
@@ -86,10 +93,10 @@ def masked_text(text: str = "text", marks: str = "marks") -> Column:
     return F.when(F.col(marks).isNotNull(), splice(F.col(text), F.col(marks))).otherwise(F.col(text))
 
 
-def mask(units: DataFrame, chosen: Policy | None = None, propagate: str | None = None) -> DataFrame:
+def mask(units: DataFrame, chosen: Policy | None = None, propagate: str | None = None, detector: Detector | None = None) -> DataFrame:
     """units (unit, text, hint; more columns stay) with masked, n_spans: each value replaced by its tag; null texts stay null.
-    unit is a whole number or null; it may repeat. propagate: see job_findings."""
-    _, out = marked(units, chosen, propagate)
+    unit is a whole number or null; it may repeat. propagate, detector: see job_findings."""
+    _, out = marked(units, chosen, propagate, detector)
     return out.select(*units.columns, masked_text().alias("masked"), F.coalesce(F.size("marks"), F.lit(0)).alias("n_spans"))
 
 
