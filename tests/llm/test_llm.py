@@ -53,6 +53,25 @@ def test_one_of_each_group_stays(corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == expected and kept.columns == corpus.columns
 
 
+def test_large_groups_of_edited_copies_meet_in_few_pairs(spark, monkeypatch):
+    """The smallest row, the hub, is an edited copy as the others are, so these share what it changed. They meet again in a
+    number of pairs that follows their number, not its square, and no link is lost."""
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(10**6)}"
+    base, rows = [word() for _ in range(200)], []
+    for i in range(240):
+        w = list(base)
+        for at in rng.choice(200, 5 if i == 0 else 3 + i % 6, replace=False):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    met, measured = [], near_dedup.measured_pairs
+    monkeypatch.setattr(near_dedup, "measured_pairs", lambda pairs, *a: met.append(pairs.count()) or measured(pairs, *a))
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == brute_components(rows, 4)
+    assert len({k[2] for k in got}) > 20  # many are linked with nothing, so they have to meet
+    assert sum(met[1:]) <= 5 * len(rows)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 31), (None, 3)], "a int, b int")
     assert {(r["node"], r["root"]) for r in connected_components(edges).collect()} == {(i, 0) for i in range(21)} | {(30, 30), (31, 30)}
