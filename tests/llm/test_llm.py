@@ -72,6 +72,20 @@ def test_large_groups_of_edited_copies_meet_in_few_pairs(spark, monkeypatch):
     assert sum(met[1:]) <= 5 * len(rows)
 
 
+def test_copies_of_one_text_have_one_hub(spark):
+    """Copies share bands with many others; still nearly all meet one hub, so first pairs follow the number of copies."""
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(10**6)}"
+    base, rows = [word() for _ in range(200)], []
+    for i in range(200):
+        w = list(base)
+        for at in rng.choice(200, 1 + i % 12, replace=False):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    signed = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert near_dedup.first_pairs(signed.select("sid", F.col("doc_id").alias("rep"), "bands")).count() <= 1.5 * len(rows)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 31), (None, 3)], "a int, b int")
     assert {(r["node"], r["root"]) for r in connected_components(edges).collect()} == {(i, 0) for i in range(21)} | {(30, 30), (31, 30)}
