@@ -110,8 +110,8 @@ def _spans_in(table: str, unit: str, text: str, hint: str = "''", **chosen) -> C
     return query
 
 
-#: Texts made of the keys of a table, as SQL that both engines read.
-CARE = "concat('No ', cast(s_suppkey as string), chr(10), cast(s_suppkey as string), ' Park Lane Drive', chr(10), 'Mercy Medical Center Group', chr(10), 'SSN ', lpad(cast(s_suppkey % 1000 as string), 3, '0'), '-12-', lpad(cast(s_suppkey as string), 4, '0'))"
+#: Texts made of the keys of a table, as SQL that both engines read. lpad would cut a key of more than four digits down to four.
+CARE = "concat('No ', cast(s_suppkey as string), chr(10), cast(s_suppkey as string), ' Park Lane Drive', chr(10), 'Mercy Medical Center Group', chr(10), 'SSN ', lpad(cast(s_suppkey % 1000 as string), 3, '0'), '-12-', lpad(cast(s_suppkey as string), greatest(4, length(cast(s_suppkey as string))), '0'))"
 TICKET = "concat('Case ID: (CS-', cast(c_custkey as string), ') Age: |', cast(c_custkey % 90 + 1 as string), '| Quantity ', cast(c_custkey as string), '9999')"
 
 
