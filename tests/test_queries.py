@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from veilspark.plans.catalog import ORACLES, QUERIES
+from veilspark.sources.scratch import dealt
 
 
 def both(spark, folder, name, **tables):
@@ -46,3 +47,14 @@ def test_addresses_that_share_a_blank(spark, tmp_path):
     got, want = both(spark, tmp_path, "detect_ip", documents=documents("1.2.3.4 5.6.7.8", "at 9.9.9.9... so"))
     assert not want - got
     assert got == Counter({(0, "1.2.3.4"): 1, (0, "5.6.7.8"): 1, (1, "9.9.9.9"): 1})
+
+
+def test_heavy_queries_run_on_all_cores(spark, tmp_path):
+    """A table in one file, and one in more splits than it has row groups, are dealt over the cores."""
+    both(spark, tmp_path, "ticket_spans", customer={"c_custkey": pa.array(range(4000), pa.int64())})
+    cores = spark.sparkContext.defaultParallelism
+    assert QUERIES["ticket_spans"](spark, str(tmp_path)).rdd.getNumPartitions() >= cores
+    one = spark.range(4000).repartition(1).union(spark.range(0, 0, 1, 2 * cores))
+    assert dealt(one, "id").rdd.glom().map(len).max() < 2000
+    even = spark.range(0, 4000, 1, 2 * cores)
+    assert dealt(even, "id") is even

@@ -102,8 +102,10 @@ def gate_pattern_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _made(spark: SparkSession, sf_dir: str, table: str, unit: str, text: str, hint: str = "''") -> DataFrame:
-    """Units made from each row of a table by SQL expressions, for shapes that the documents don't have."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(unit).cast("long").alias("unit"), F.expr(text).alias("text"), F.expr(hint).alias("hint"))
+    """Units made from each row of a table by SQL expressions, for shapes that the documents don't have. Such a table is small and
+    lies in few parts, while its texts are heavy on a row; its keys are dealt over the cores before texts are made of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return dealt(rows, {"customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey"}[table]).select(F.expr(unit).cast("long").alias("unit"), F.expr(text).alias("text"), F.expr(hint).alias("hint"))
 
 
 def _spans_in(table: str, unit: str, text: str, hint: str = "''", **chosen) -> Callable:

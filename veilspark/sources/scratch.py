@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where a local master (tests on one machine) names no shared folder.
 LOCAL = "/tmp/checkpoints/veilspark"
@@ -41,7 +42,12 @@ def release(spark: SparkSession) -> int:
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df over all cores by key where the table lies in fewer parts than there are cores, which would leave some idle in work
-    that is heavy on a row; any other table is read as it lies, without a shuffle. The rows are the same."""
+    """df over all cores by key where one part of it has more than twice its share of the rows, or parts are fewer than cores,
+    which would leave some idle in work that is heavy on a row; any other table is read as it lies, without a shuffle. The rows
+    are the same. A file may be split in more parts than it has row groups; those without one are empty, so rows are counted."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        rows = df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        if not rows[1] or rows[0] * cores <= 2 * rows[1]:
+            return df
+    return df.repartition(cores, key)
