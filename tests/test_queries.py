@@ -1,5 +1,7 @@
 """Queries against their SQL, on rows that the standard tables of small sizes don't have."""
 
+import random
+import re
 from collections import Counter
 
 import duckdb
@@ -7,6 +9,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from veilspark.operators.positioned import words_of_lines
+from veilspark.operators.tokens import flat_tokens
 from veilspark.plans.catalog import ORACLES, QUERIES
 from veilspark.sources.scratch import dealt
 
@@ -58,3 +62,22 @@ def test_heavy_queries_run_on_all_cores(spark, tmp_path):
     assert dealt(one, "id").rdd.glom().map(len).max() < 2000
     even = spark.range(0, 4000, 1, 2 * cores)
     assert dealt(even, "id") is even
+
+
+def test_tokens_are_those_of_the_pattern(spark):
+    """Over bytes of many rows at once, without a row-by-row fold and without a shuffle."""
+    rng = random.Random(3)
+    texts = [None, "", " ", *("".join(rng.choices("ab\n\t \x1c  　\u0085é漢😀.", k=rng.randrange(1, 40))) for _ in range(300))]
+    blank = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
+    want = [(i, n, (t or "")[: m.start()].count("\n"), m.start(), m.end(), m[0]) for i, t in enumerate(texts) for n, m in enumerate(blank.finditer(t or ""))]
+    df = flat_tokens(spark.createDataFrame(list(enumerate(texts)), "unit long, text string").repartition(2))
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == want
+
+
+def test_words_of_lines_are_not_shuffled(spark):
+    lines = spark.createDataFrame([(1, 0, 0, "ab  c", 0.0, 0.0, 0.5, 0.1), (1, 0, 0, "ab  c", 0.0, 0.0, 0.5, 0.1), (2, 0, 1, "x", None, 0.0, None, 0.1), (2, 0, 2, None, 0.0, 0.0, 1.0, 0.1)], "unit long, page int, line int, text string, x0 double, y0 double, x1 double, y1 double")
+    words = words_of_lines(lines)
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r["unit"], r["line"], r["nth"], r["text"], r["x0"], r["x1"]) for r in words.collect()), key=str)
+    assert got == [(1, 0, 0, "ab", 0.0, pytest.approx(0.3)), (1, 0, 0, "ab", 0.0, pytest.approx(0.3)), (1, 0, 1, "c", pytest.approx(0.3), 0.5), (1, 0, 1, "c", pytest.approx(0.3), 0.5), (2, 1, 0, "x", None, None)]

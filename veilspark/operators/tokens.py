@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.functions.spans import added, let, match_places, running
+from veilspark.functions.spans import match_places
 
 TOKEN = r"(?U)\S+"
 
@@ -21,15 +26,67 @@ def token_array(text: Column) -> Column:
     return match_places(text, TOKEN)
 
 
+#: Bytes of text whose tokens are found at once, about.
+SLICE = 4 << 20
+#: White space of more than one byte in UTF-8, as \s has it with (?U).
+WIDE_BLANKS = "\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of each token of texts: its row, its number in the row, line feeds before it, start and end in code points, and the
+    tokens themselves as the last entry; the one before last is the number of code points of each row."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    n, (_, ends, held) = len(texts), texts.buffers()
+    off = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(held, np.uint8)[off[0] : off[-1]] if held is not None else np.empty(0, np.uint8)
+    off = off - off[0]
+    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if len(data) and data.max() > 127:
+        for c in WIDE_BLANKS:
+            code = c.encode()
+            at = np.flatnonzero(data[: len(data) - len(code) + 1] == code[0])
+            for i in range(1, len(code)):
+                at = at[data[at + i] == code[i]]
+            for i in range(len(code)):
+                word[at + i] = False
+    before, after = np.empty_like(word), np.empty_like(word)  # whether the neighbour is of the same row and of a token
+    before[:1], before[1:], after[-1:], after[:-1] = False, word[:-1], False, word[1:]
+    inner = off[(off > 0) & (off < len(data))]
+    before[inner], after[inner - 1] = False, False
+    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    row = np.searchsorted(off[1:], start, "right")
+    counted = lambda flags: np.concatenate([np.zeros(1, np.int64), np.cumsum(flags)])
+    points, breaks = counted((data & 0xC0) != 0x80), counted(data == 10)
+    firsts = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(row, minlength=n))])
+    lengths = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - start)]).astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(start), pa.py_buffer(lengths), pa.py_buffer(data[word]))
+    of = lambda counts, at: (counts[at] - counts[off[row]]).astype(np.int32)
+    return row, (np.arange(len(start)) - firsts[row]).astype(np.int32), of(breaks, start), of(points, start), of(points, end), points[off[1:]] - points[off[:-1]], tokens
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of one, if they are more than one, have SLICE bytes at most."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            done = size[at - 1] if at else 0
+            to = max(int(np.searchsorted(size, done + SLICE, "right")), at + 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def flat_tokens(units: DataFrame) -> DataFrame:
     """unit, tok, line, start, end, text of each token of units (unit, text): runs without blanks, lines counted by line feeds.
-    Offsets are found in the row, so nothing is shuffled."""
-    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    gaps = F.transform(F.split("text", TOKEN, -1), breaks)
-    lines = let(gaps, lambda g: F.zip_with(g, running(g, added), lambda own, before: (own + before).cast("int")))
-    found = F.arrays_zip(token_array(F.col("text")).alias("t"), lines.alias("line"))
-    rows = units.select("unit", F.posexplode(found).alias("tok", "x")).filter("x.t is not null")
-    return rows.select("unit", "tok", F.col("x.line").alias("line"), F.col("x.t.start").alias("start"), (F.col("x.t.start") + F.length("x.t.g0")).alias("end"), F.col("x.t.g0").alias("text"))
+    Offsets are found in the row, over the bytes of many texts at once, so nothing is shuffled."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            row, tok, line, start, end, _, text = places(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("unit").take(pa.array(row)), *map(pa.array, (tok, line, start, end)), text], ["unit", "tok", "line", "start", "end", "text"])
+
+    schema = T.StructType([units.schema["unit"], *(T.StructField(c, T.IntegerType()) for c in ("tok", "line", "start", "end")), T.StructField("text", T.StringType())])
+    return units.select("unit", "text").mapInArrow(found, schema)
 
 
 def joined(tokens: DataFrame, sep: str = " ") -> DataFrame:
