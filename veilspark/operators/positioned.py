@@ -6,9 +6,14 @@ text, and perhaps confidence. What joins two tokens of a page meets by unit, pag
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions.labels import ID_LABELS, PROVIDER_LABELS
 from veilspark.functions.text import TOKEN_EDGES, looks_read
@@ -16,7 +21,7 @@ from veilspark.operators.context import Adjacency, neighbours
 from veilspark.operators.detect import AGE, AGE_LABEL, CANDIDATE, MAX_AGE, OCR_NOISE
 from veilspark.operators.geometry import SIDES, area, common_area
 from veilspark.operators.policy import Policy
-from veilspark.operators.tokens import token_array
+from veilspark.operators.tokens import places, slices
 
 #: What counts as money, and as an identifier on a barcode; labels of signatures.
 MONEY = r"^\$?\d{1,3}(?:,\d{3})+(?:\.\d{2})?$|^\$?\d+\.\d{2}$"
@@ -182,14 +187,24 @@ def loop_engine_name(primary: str, installed: set[str], asked: str = "auto") ->
 
 def words_of_lines(lines: DataFrame) -> DataFrame:
     """lines (unit, page, line, text, a box) as words with boxes that share the width out by characters and meet half way, so
-    that they tile the line."""
-    at = lambda n: F.col("x0") + (F.col("x1") - F.col("x0")) * n / F.length("text")
-    rows = lines.select("*", F.posexplode(token_array(F.col("text"))).alias("nth", "w"))
-    rows = rows.withColumn("left", at(F.col("w.start"))).withColumn("right", at(F.col("w.start") + F.length("w.g0")))
-    order = Window.partitionBy("unit", "page", "line").orderBy("nth")
-    low = F.coalesce((F.lag("right").over(order) + F.col("left")) / 2, F.col("x0"))
-    high = F.coalesce((F.col("right") + F.lead("left").over(order)) / 2, F.col("x1"))
-    return rows.select("unit", "page", "line", "nth", F.col("w.g0").alias("text"), low.alias("x0"), "y0", high.alias("x1"), "y1")
+    that they tile the line. Each row is a line by itself; nothing is shuffled."""
+    names = ["unit", "page", "line", "nth", "text", "x0", "y0", "x1", "y1"]
+
+    def boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            row, nth, _, start, end, length, text = places(batch.column("text"))
+            x0, x1 = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("x0", "x1"))
+            left, right = (x0 + (x1 - x0) * n / length[row] for n in (start, end))
+            same = row[1:] == row[:-1]
+            half = (right[:-1] + left[1:]) / 2
+            low, high = x0.copy(), x1.copy()
+            low[1:], high[:-1] = np.where(same & ~np.isnan(half), half, x0[1:]), np.where(same & ~np.isnan(half), half, x1[:-1])
+            taken = lambda c, b=batch, r=pa.array(row): b.column(c).take(r)
+            yield pa.RecordBatch.from_arrays([*map(taken, names[:3]), pa.array(nth), text, pa.array(low, from_pandas=True), taken("y0"), pa.array(high, from_pandas=True), taken("y1")], names)
+
+    of = lines.withColumns({c: F.col(c).cast("double") for c in ("x0", "x1")}).select("unit", "page", "line", "text", "x0", "y0", "x1", "y1")
+    schema = T.StructType([T.StructField("nth", T.IntegerType()) if c == "nth" else T.StructField(c, of.schema[c].dataType) for c in names])
+    return of.mapInArrow(boxed, schema)
 
 
 def without_repeats(tokens: DataFrame, limit: float = 0.3) -> DataFrame:
