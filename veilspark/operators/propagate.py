@@ -110,13 +110,13 @@ def propagated_spans(keyed: DataFrame, lex: DataFrame, chosen: Policy, providers
 
 def exact_matches(tokens: DataFrame, lex: DataFrame) -> DataFrame:
     """tokens (unit, tok, text, ...) whose normalised text is a key, with its entity."""
-    return tokens.withColumn("key", normalize(F.col("text"))).join(lex, "key")
+    return tokens.withColumn("key", token_key(F.col("text"))).join(lex, "key")
 
 
 def folded_matches(tokens: DataFrame, lex: DataFrame) -> DataFrame:
     """tokens that equal a key once characters that OCR confuses are folded, but don't equal one as they are."""
     keys = lex.withColumn("folded", fold(F.col("key"))).filter("folded is not null").groupBy("folded").agg(F.min_by("entity", "first_ord").alias("entity"), F.min("first_ord").alias("first_ord"))
-    missed = tokens.withColumn("key", normalize(F.col("text"))).join(lex.select("key"), "key", "left_anti").filter(~F.col("key").isin(*TOO_COMMON))
+    missed = tokens.withColumn("key", token_key(F.col("text"))).join(lex.select("key"), "key", "left_anti").filter(~F.col("key").isin(*TOO_COMMON))
     return missed.withColumn("folded", fold(F.col("key"))).join(keys, "folded")
 
 
@@ -154,7 +154,7 @@ def similar_words(words: DataFrame, lex: DataFrame, ratio: float = RATIO) -> Dat
 
 def fuzzy_matches(tokens: DataFrame, lex: DataFrame, ratio: float = RATIO) -> DataFrame:
     """tokens of five letters or more spelt nearly as the word of a name, with that word as key and the best similarity ratio."""
-    words = tokens.withColumn("_norm", normalize(F.col("text")))
+    words = tokens.withColumn("_norm", token_key(F.col("text")))
     near = similar_words(words.select(F.col("_norm").alias("key")).distinct(), lex.select("key", "entity", F.col("first_ord.doc").alias("first_doc")), ratio)
     best = near.groupBy(F.col("key").alias("_norm"), "word").agg(F.max_by("known", "ratio").alias("key"), F.max("ratio").alias("ratio"))
     return words.join(best, "_norm").drop("_norm").withColumn("entity", F.lit("PERSON"))
