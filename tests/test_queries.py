@@ -1,5 +1,6 @@
 """Queries against their SQL, on rows that the standard tables of small sizes don't have."""
 
+import difflib
 import random
 import re
 from collections import Counter
@@ -8,8 +9,10 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.operators.positioned import words_of_lines
+from veilspark.operators.propagate import RATIO, meeting, similar_words
 from veilspark.operators.tokens import flat_tokens
 from veilspark.plans.catalog import ORACLES, QUERIES
 from veilspark.sources.scratch import dealt
@@ -81,3 +84,24 @@ def test_words_of_lines_are_not_shuffled(spark):
     assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
     got = sorted(((r["unit"], r["line"], r["nth"], r["text"], r["x0"], r["x1"]) for r in words.collect()), key=str)
     assert got == [(1, 0, 0, "ab", 0.0, pytest.approx(0.3)), (1, 0, 0, "ab", 0.0, pytest.approx(0.3)), (1, 0, 1, "c", pytest.approx(0.3), 0.5), (1, 0, 1, "c", pytest.approx(0.3), 0.5), (2, 1, 0, "x", None, None)]
+
+
+def test_similar_words_are_those_of_brute_force(spark):
+    """All pairs at the ratio, from few that meet: words that have three letters in a row in common don't."""
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choices("abcde", k=rng.randrange(5, 23))) for _ in range(150)})
+    words = set(names)
+    for n in names * 4:
+        w = list(n)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(["", "x", w[at] + "y"])
+        words.add("".join(w))
+    words = sorted(w for w in words if len(w) >= 5)
+    lex = spark.createDataFrame([(n, "PERSON", 1) for n in names], "key string, entity string, first_doc long")
+    known = spark.createDataFrame([(w,) for w in words], "key string")
+    want = {(w, n) for w in words for n in names if abs(len(w) - len(n)) <= 2 and difflib.SequenceMatcher(None, w, n).ratio() >= RATIO}
+    got = [(r["word"], r["known"]) for r in similar_words(known, lex).collect()]
+    assert set(got) == want and len(got) == len(want)
+    short = meeting(known.select(F.col("key").alias("word")), lex.select(F.col("key").alias("known"), F.length("key").alias("n"), "first_doc"), RATIO)
+    assert short.distinct().count() <= 2 * len(want)
